@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,9 +36,30 @@ AUTHOR_FEATURES = ["author_video_count", "author_mean_view", "author_median_view
 NUMERIC_FEATURES = ["hour", "dow", *TITLE_FEATURES, *AUTHOR_FEATURES]
 
 
-def occurrences(text: Column, word: str) -> Column:
-    """Non-overlapping occurrences of a literal."""
-    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(word)))) / len(word))
+def occurrences(text: Column, word: Column) -> Column:
+    """Non-overlapping occurrences of a word."""
+    without = F.length(F.replace(text, word, F.lit("")))
+    return F.floor((F.length(text) - without) / F.length(word))
+
+
+def emotion_counts(text: Column) -> Column:
+    """Struct (total, hits) of lexicon occurrences.
+
+    The words consist of Han characters only, so they are counted in the Han
+    runs of the text, which are cut out once; one array element binds them.
+    """
+    runs = F.array_join(F.regexp_extract_all(text, F.lit(r"[\x{4e00}-\x{9fa5}]+"), F.lit(0)), " ")
+    lexicon = F.array(*[F.lit(w) for w in EMOTION_WORDS])
+
+    def tally(han):
+        counts = F.transform(lexicon, lambda w: occurrences(han, w))
+        return F.aggregate(
+            counts,
+            F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("hits")),
+            lambda s, c: F.struct((s["total"] + c).alias("total"),
+                                  (s["hits"] + F.when(c > 0, 1).otherwise(0)).alias("hits")))
+
+    return F.transform(F.array(runs), tally)[0]
 
 
 def contains_any(text: Column, words) -> Column:
@@ -49,10 +69,7 @@ def contains_any(text: Column, words) -> Column:
 def title_features(title: Column) -> dict[str, Column]:
     """The feature columns by name, to be passed to ``withColumns``."""
     t = F.coalesce(title, F.lit(""))
-    counts = [occurrences(t, w) for w in EMOTION_WORDS]
-    # Texts without any lexicon character skip the sixty scans.
-    first = "".join(dict.fromkeys(w[0] for w in EMOTION_WORDS))
-    has_lexicon = t.rlike(f"[{first}]")
+    emotion = emotion_counts(t)
     return {
         "title_len": F.length(t).cast("bigint"),
         "digit_cnt": F.regexp_count(t, F.lit(r"\p{Nd}")).cast("bigint"),
@@ -65,10 +82,8 @@ def title_features(title: Column) -> dict[str, Column]:
         "has_review": contains_any(t, REVIEW_WORDS),
         "has_list": contains_any(t, LIST_WORDS),
         "has_hot": contains_any(t, HOT_WORDS),
-        "emotion_cnt": F.when(has_lexicon, reduce(add, counts)).otherwise(0).cast("bigint"),
-        "emotion_hit_cnt": F.when(
-            has_lexicon, reduce(add, [(c > 0).cast("bigint") for c in counts])
-        ).otherwise(0).cast("bigint"),
+        "emotion_cnt": emotion["total"],
+        "emotion_hit_cnt": emotion["hits"],
     }
 
 

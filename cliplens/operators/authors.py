@@ -11,7 +11,10 @@ from cliplens.operators.quantiles import grouped_quantiles
 
 
 def author_stats(videos: DataFrame) -> DataFrame:
-    """Mean, exact median and count of views per author with a numeric id."""
+    """Mean, exact median and count of views per author with a numeric id.
+
+    Materialize the result before it is used more than once.
+    """
     rows = videos.select(
         F.col("author_id").try_cast("bigint").alias("author_id"), "view_count"
     ).where(F.col("author_id").isNotNull())

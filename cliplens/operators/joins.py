@@ -40,6 +40,13 @@ def lookup_join(big: DataFrame, dim: DataFrame, on: list[str], how: str = "left"
     if proven_small or fits_broadcast(dim, max_bytes):
         return big.join(F.broadcast(dim), on, how)
     salt_cols = salt_by or [c for c in big.columns if c not in on] or on
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(SALTS)))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    return salted_join(big, dim, on, how, salt_cols)
+
+
+def salted_join(big: DataFrame, dim: DataFrame, on: list[str], how: str,
+                salt_by: list[str]) -> DataFrame:
+    """Shuffled many-to-one join that spreads each key of ``big`` over ``SALTS`` tasks."""
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)))
+    copies = dim.withColumn("_salt", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliplens.operators.joins import lookup_join
+from cliplens.operators.joins import salted_join
 
 RANGES = 64
 
@@ -28,7 +28,9 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     sketch = counts.groupBy(*keys).agg(
         F.percentile_approx("_v", cuts, 1000).alias("_cuts"), F.sum("_c").alias("_n")
     )
-    ranged = lookup_join(counts, sketch, keys, "inner").withColumn(
+    # Salted, so a hot group is spread over tasks; with few groups the sketches
+    # are small and AQE turns this into a broadcast join.
+    ranged = salted_join(counts, sketch, keys, "inner", salt_by=["_v"]).withColumn(
         "_range", F.size(F.filter("_cuts", lambda s: s < F.col("_v")))
     ).drop("_cuts")
     in_range = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(

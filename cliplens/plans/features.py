@@ -8,6 +8,7 @@ from cliplens.functions import numbers as N
 from cliplens.functions import title as TT
 from cliplens.operators import advice, authors, models, profile, reports
 from cliplens.plans.inputs import DECORATED_SQL, VIDEOS_SQL, decorate, table, videos, with_ctes
+from cliplens.session import materialize
 
 V = with_ctes(VIDEOS_SQL)
 D = with_ctes(DECORATED_SQL)
@@ -81,7 +82,7 @@ def author_stats(spark, sf):
 
 
 def author_defaults(spark, sf):
-    return authors.author_defaults(author_stats(spark, sf))
+    return authors.author_defaults(materialize(author_stats(spark, sf), "authors"))
 
 
 def asking(spark, sf):
@@ -97,7 +98,7 @@ def asking(spark, sf):
 
 
 def author_features(spark, sf):
-    stats = author_stats(spark, sf)
+    stats = materialize(author_stats(spark, sf), "authors")
     return authors.add_author_features(asking(spark, sf), stats, authors.author_defaults(stats))
 
 
@@ -132,7 +133,7 @@ def cluster_labels(spark, sf):
 def model_features(spark, sf):
     v = decorate(videos(spark, sf, "video_id", "title", "category", "author_id",
                         "publish_time", "view_count"))
-    stats = authors.author_stats(v)
+    stats = materialize(authors.author_stats(v), "authors")
     rows = models.model_features(v, stats, authors.author_defaults(stats))
     return rows.select("video_id", "category",
                        *[N.rounded(F.col(c), 4).alias(c) for c in TT.NUMERIC_FEATURES])
