@@ -1,9 +1,10 @@
 """Exact quantiles of groups of any size.
 
-The built-in exact percentile keeps every distinct value of a group in one
-task. Here equal values are counted first, the distinct values of a group are
-split into ranges by an approximate sketch, and the exact position is found by
-adding up counts inside ranges, so a hot group is spread over many tasks.
+Equal values are counted first. The built-in exact percentile then keeps every
+distinct value of a group in one task, which is fine while their measured
+number is small. Beyond that, the distinct values of a group are split into
+ranges by an approximate sketch, and the exact position is found by adding up
+counts inside ranges, so a hot group is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -14,16 +15,26 @@ from pyspark.sql import functions as F
 from cliplens.operators.joins import salted_join
 
 RANGES = 64
+MAX_DISTINCT = 100_000
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      ranges: int = RANGES) -> DataFrame:
+                      ranges: int = RANGES, max_distinct: int = MAX_DISTINCT) -> DataFrame:
     """One row per group with a column per entry of ``probs``, linearly interpolated."""
     counts = (
         df.where(F.col(value).isNotNull())
         .select(*keys, F.col(value).cast("double").alias("_v"))
         .groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     )
+    widest = counts.groupBy(*keys).agg(F.count("*").alias("d")).agg(F.max("d")).first()[0] or 0
+    if widest <= max_distinct:
+        return counts.groupBy(*keys).agg(*[
+            F.percentile("_v", p, F.col("_c")).alias(name) for name, p in probs.items()])
+    return _ranked_quantiles(counts, keys, probs, ranges)
+
+
+def _ranked_quantiles(counts: DataFrame, keys: list[str], probs: dict[str, float],
+                      ranges: int) -> DataFrame:
     cuts = [i / ranges for i in range(1, ranges)]
     sketch = counts.groupBy(*keys).agg(
         F.percentile_approx("_v", cuts, 1000).alias("_cuts"), F.sum("_c").alias("_n")

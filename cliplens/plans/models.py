@@ -33,11 +33,17 @@ def prepared(spark: SparkSession, sf: str, leaky: bool = False) -> tuple[DataFra
 
 
 @functools.lru_cache(maxsize=4)
-def _trained(spark: SparkSession, sf: str, kind: str):
+def _featured(spark: SparkSession, sf: str):
+    """Data, side tables and fitted features; both models share them."""
     data, side = prepared(spark, sf)
-    train = data.where("is_train")
-    features = models.fit_features(train)
-    ready = features.transform(train).select("features", "label", "bucket").cache()
+    features = models.fit_features(data.where("is_train"))
+    return data, side, features
+
+
+@functools.lru_cache(maxsize=8)
+def _trained(spark: SparkSession, sf: str, kind: str):
+    data, side, features = _featured(spark, sf)
+    ready = features.transform(data.where("is_train")).select("features", "label", "bucket").cache()
     model = models.fit_ridge(ready) if kind == "view" else models.fit_bucket_classifier(ready)
     ready.unpersist()
     return data, side, features, model

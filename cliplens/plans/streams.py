@@ -33,7 +33,7 @@ def stream_append(spark, sf):
     out = scratch_path(spark, "append")
     stream = _landed_events(spark, sf)
     jobs.run_append(stream, out, scratch_path(spark, "ck"))
-    return spark.read.schema(stream.schema).json(out)
+    return spark.read.schema(stream.schema).options(**jobs.TIMESTAMPS).json(out)
 
 
 def _landed_videos(spark, sf):

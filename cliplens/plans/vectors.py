@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cliplens.functions import numbers as N
@@ -46,10 +45,9 @@ def choose_k(spark, sf):
 
 
 def kmeans_sizes(spark, sf):
-    ready = points(spark, sf).select(
-        "id", array_to_vector(vectors.doubles("embedding")).alias("features"))
-    model = vectors.kmeans(ready, 10)
-    return model.transform(ready).groupBy(F.col("prediction").alias("cluster_id")).agg(
+    vecs = points(spark, sf).select("id", "embedding")
+    centers = vectors.kmeans_sweep(vecs, [10])
+    return vectors.assign_centers(vecs, {"cluster_id": centers[10]}).groupBy("cluster_id").agg(
         F.count("*").alias("n"))
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from cliplens.session import scratch_path
 
 
+# Whole microseconds survive a round trip through text formats.
+TIMESTAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
                 max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -23,7 +27,7 @@ def dedup_stream(stream: DataFrame, keys: list[str], time_col: str, delay: str)
 
 def run_append(stream: DataFrame, path: str, checkpoint: str, fmt: str = "json") -> None:
     """Process what is available and append it."""
-    stream.writeStream.format(fmt).outputMode("append").option(
+    stream.writeStream.format(fmt).outputMode("append").options(**TIMESTAMPS).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
