@@ -50,8 +50,7 @@ def _split_run(run: Column) -> Column:
 
 
 def drop_stop_words(tokens: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(tokens, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(tokens, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
 def retrieval_tokens(title: Column, tokenizer=segment) -> Column:

@@ -14,6 +14,9 @@ def _width(field: T.StructField) -> Column:
     col = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(field.dataType, T.ArrayType) and not isinstance(
+            field.dataType.elementType, (T.StringType, T.ArrayType, T.MapType, T.StructType)):
+        return F.greatest(F.size(col), F.lit(0)) * 8 + 16
     if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
         return F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)) * 2
     return F.lit(16)

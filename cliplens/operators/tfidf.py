@@ -1,8 +1,9 @@
 """TF-IDF weights, keyword extraction and hashed text vectors.
 
-A document's terms are brought together by one shuffle of its token array on
-the document id. Counting, weighting and normalising then run in the same
-stage, because every later grouping contains that id.
+A document's text is placed by one shuffle on the document id. Segmenting,
+counting, weighting and normalising then run without another shuffle of terms,
+because every later grouping contains that id, and the vocabulary and the
+weights read the same shuffled texts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliplens.operators.joins import lookup_join
+from cliplens.operators.joins import MAX_BROADCAST_BYTES, lookup_join
 
 RETRIEVAL_TERMS = 10_000
 MODEL_TERMS = 1_000
@@ -19,25 +20,15 @@ MODEL_TERMS = 1_000
 def doc_terms(docs: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
     """(keys, term, tf), partitioned by the last key, the document id."""
     return (
-        docs.select(*keys, tokens.alias("_tokens"))
-        .repartition(keys[-1])
-        .select(*keys, F.explode("_tokens").alias("term"))
+        docs.repartition(keys[-1])
+        .select(*keys, F.explode(tokens).alias("term"))
         .groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     )
 
 
-def vocabulary(docs: DataFrame, tokens: Column, max_terms: int) -> DataFrame:
+def vocabulary(tf: DataFrame, n_docs: Column, max_terms: int) -> DataFrame:
     """The ``max_terms`` commonest terms with document frequency and smooth idf."""
-    once = F.transform(F.array_distinct("_tokens"), lambda t: F.struct(
-        t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")))
-    every = F.transform("_tokens", lambda t: F.struct(
-        t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c")))
-    n_docs = docs.agg(F.count("*")).scalar()
-    counts = (
-        docs.select(tokens.alias("_tokens"))
-        .select(F.explode(F.concat(once, every)).alias("e"))
-        .groupBy("e.term").agg(F.sum("e.d").alias("df"), F.sum("e.c").alias("total"))
-    )
+    counts = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     return (
         counts.orderBy(F.col("total").desc(), "term").limit(max_terms)
         .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1)
@@ -58,8 +49,9 @@ def normalised_weights(tf: DataFrame, vocab: DataFrame, doc: str) -> DataFrame:
 
 def tfidf_weights(docs: DataFrame, doc: str, tokens: Column,
                   max_terms: int = RETRIEVAL_TERMS) -> DataFrame:
-    vocab = vocabulary(docs, tokens, max_terms)
-    return normalised_weights(doc_terms(docs, [doc], tokens), vocab, doc)
+    tf = doc_terms(docs, [doc], tokens)
+    vocab = vocabulary(tf, docs.agg(F.count("*")).scalar(), max_terms)
+    return normalised_weights(tf, vocab, doc)
 
 
 def keyword_counts(docs: DataFrame, words: Column) -> DataFrame:
@@ -76,11 +68,13 @@ def topic_keywords(docs: DataFrame, words: Column, tokens: Column, top_k: int =
     """
     docs = docs.where(F.col(cluster).isNotNull())
     sizes = docs.groupBy(cluster).agg(F.count("*").alias("n_docs"))
+    # Tables with a few rows per cluster are broadcast if the clusters are few enough.
+    few = sizes.count() * 2 * top_k * 256 <= MAX_BROADCAST_BYTES
     tf = doc_terms(docs, [cluster, doc], tokens)
     stats = tf.groupBy(cluster, "term").agg(
         F.count("*").alias("df"), F.sum("tf").alias("total")
     )
-    kept = lookup_join(stats, sizes, [cluster], "inner", salt_by=["term"]).where(
+    kept = lookup_join(stats, sizes, [cluster], "inner", few, salt_by=["term"]).where(
         (F.col("df") >= 2) & (F.col("df") <= 0.95 * F.col("n_docs"))
     )
     by_total = Window.partitionBy(cluster).orderBy(F.col("total").desc(), "term")
@@ -90,8 +84,7 @@ def topic_keywords(docs: DataFrame, words: Column, tokens: Column, top_k: int =
                 (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1)
                 .alias("idf"))
     )
-    # Two times top_k terms per cluster; measured before it is broadcast.
-    raw = lookup_join(tf, vocab, [cluster, "term"], "inner", salt_by=[doc]).withColumn(
+    raw = lookup_join(tf, vocab, [cluster, "term"], "inner", few, salt_by=[doc]).withColumn(
         "_w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     scored = (
@@ -100,7 +93,7 @@ def topic_keywords(docs: DataFrame, words: Column, tokens: Column, top_k: int =
     )
     bare = sizes.select(cluster).join(vocab.select(cluster), cluster, "left_anti")
     plain = (
-        lookup_join(docs, bare, [cluster], "left_semi", salt_by=[doc])
+        lookup_join(docs, bare, [cluster], "left_semi", few, salt_by=[doc])
         .select(cluster, F.explode(words).alias("term"))
         .groupBy(cluster, "term").agg(F.count("*").cast("double").alias("score"))
     )
@@ -118,13 +111,13 @@ def hashed_vectors(docs: DataFrame, doc: str, tokens: Column, dim: int = 64) ->
     Every document keeps a row; one without tokens gets the zero vector.
     """
     code = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint")
+    sign = F.when(F.pmod(F.floor(code / dim), F.lit(2)) == 0, 1).otherwise(-1)
     slots = (
-        docs.select(doc, tokens.alias("_tokens"))
-        .repartition(doc)
-        .select(doc, F.explode_outer("_tokens").alias("term"))
-        .select(doc, F.pmod(code, F.lit(dim)).alias("slot"),
-                F.when(F.pmod(F.floor(code / dim), F.lit(2)) == 0, 1).otherwise(-1).alias("sign"))
-        .groupBy(doc, "slot").agg(F.sum("sign").cast("double").alias("v"))
+        docs.repartition(doc)
+        .select(doc, F.explode_outer(tokens).alias("term"))
+        .groupBy(doc, "term").agg(F.count("*").alias("tf"))
+        .groupBy(doc, F.pmod(code, F.lit(dim)).alias("slot"))
+        .agg(F.sum(sign * F.col("tf")).cast("double").alias("v"))
     )
     sparse = slots.groupBy(doc).agg(
         F.map_from_entries(F.collect_list(F.when(
