@@ -64,13 +64,29 @@ def model_tokens(title: Column, tokenizer=segment) -> Column:
 
 
 def keyword_words(title: Column, tokenizer=segment) -> Column:
-    """Cleaned words as they stand, used for plain counting."""
-    return drop_stop_words(tokenizer(clean_for_keywords(title)))
+    """Words of the cleaned text as they stand, used for plain counting.
+
+    Segmenting a cleaned text gives its Han runs and its ASCII runs, so the
+    default tokenizer cuts these out of the text at once.
+    """
+    if tokenizer is not segment:
+        return drop_stop_words(tokenizer(clean_for_keywords(title)))
+    text = F.coalesce(title, F.lit(""))
+    runs = F.regexp_extract_all(text, F.lit(f"[{HAN_CLASS}]+|[a-zA-Z0-9]+"), F.lit(0))
+    words = F.when(text.rlike(f"[{HAN_CLASS}]"), F.flatten(F.transform(runs, _split_run)))
+    return drop_stop_words(words.otherwise(runs))
 
 
 def keyword_tokens(title: Column, tokenizer=segment) -> Column:
-    """Cleaned words joined again, lower-cased and cut at word boundaries."""
-    joined = F.lower(F.array_join(keyword_words(title, tokenizer), " "))
+    """Cleaned words joined again, lower-cased and cut at word boundaries.
+
+    The words of the default tokenizer hold no boundary and no single
+    character, so joining and cutting would give them back.
+    """
+    words = keyword_words(title, tokenizer)
+    if tokenizer is segment:
+        return F.transform(words, lambda w: F.lower(w))
+    joined = F.lower(F.array_join(words, " "))
     return F.regexp_extract_all(joined, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cliplens.operators.joins import fits_broadcast, lookup_join
+from cliplens.session import materialize
 
 BLOCK_ROWS = 2048
 PIVOTS = 64
@@ -110,8 +111,8 @@ def distinct_vectors(points: DataFrame, id_col: str = "id") -> tuple[DataFrame,
     Only the hash of a vector is shuffled together with it; grouping counts
     copies before the shuffle, so a vector with very many copies is cheap.
     """
-    reps = points.groupBy("embedding").agg(
-        F.min(id_col).alias("rep"), F.count("*").alias("weight"))
+    reps = materialize(points.groupBy("embedding").agg(
+        F.min(id_col).alias("rep"), F.count("*").alias("weight")), "distinct-vectors")
     members = lookup_join(
         points.select(id_col, "embedding"), reps.select("embedding", "rep"), ["embedding"],
         "inner", salt_by=[id_col],
