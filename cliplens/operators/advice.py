@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplens.functions.title import advice
+from cliplens.operators.joins import lookup_join
 from cliplens.operators.quantiles import grouped_quantiles
 
 TERMINAL = ["SUCCESS", "FAILURE"]
@@ -140,7 +141,7 @@ def last_exchanges(turns: DataFrame, k: int = 5) -> DataFrame:
     )
     # A conversation with fewer user turns is kept whole.
     kept = F.col("_from").isNull() | (F.col("turn") >= F.col("_from"))
-    return turns.join(start, "conv_id", "left").where(kept).drop("_from")
+    return lookup_join(turns, start, ["conv_id"], "left", salt_by=["turn"]).where(kept).drop("_from")
 
 
 def last_tool(steps: Column) -> Column:

@@ -232,5 +232,4 @@ def _knn_blocks(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
 
     hits = pair_blocks(unique, Cells(slim), best, HIT_SCHEMA, k=k)
     answers = top_k(hits, k).withColumnRenamed("query_id", "rep").drop("rank")
-    return members.join(answers, "rep").select(F.col("id").alias("query_id"), answers["id"],
-                                               "distance")
+    return members.withColumnRenamed("id", "query_id").join(answers, "rep").drop("rep")

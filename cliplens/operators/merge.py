@@ -20,7 +20,10 @@ def upsert_counts(base: DataFrame, delta: DataFrame, key: str = "video_id") -> D
 
 
 def unseen(items: DataFrame, history: DataFrame, key: str = "video_id") -> DataFrame:
-    """Items whose key is not in the history."""
+    """Items whose key is not in the history.
+
+    AQE splits the partition of an item key that is repeated very often.
+    """
     return items.join(history.select(key), key, "left_anti")
 
 

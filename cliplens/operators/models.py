@@ -69,8 +69,8 @@ def fit_features(train: DataFrame, max_terms: int = MODEL_TERMS) -> PipelineMode
 
 
 def fit_ridge(train: DataFrame, alpha: float = 1.0, label: str = "label"):
-    """Ridge by normal equations in one pass; the penalty is scaled to the label."""
-    s = train.agg(F.count("*").alias("n"), F.stddev_samp(label).alias("sd")).first()
+    """Ridge by normal equations in one pass; the solver scales the penalty by the label."""
+    s = train.agg(F.count("*").alias("n"), F.stddev_pop(label).alias("sd")).first()
     return LinearRegression(
         featuresCol="features", labelCol=label, elasticNetParam=0.0, standardization=False,
         solver="normal", regParam=alpha * (s["sd"] or 1.0) / s["n"],
@@ -116,8 +116,8 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
     f1 = F.coalesce(
         F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("predicted")), F.lit(0.0))
     return per_class.agg(
-        (F.sum("tp") / F.sum("support")).alias("accuracy"),
-        (F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1_weighted"),
+        F.try_divide(F.sum("tp").cast("double"), F.sum("support")).alias("accuracy"),
+        F.try_divide(F.sum(f1 * F.col("support")), F.sum("support")).alias("f1_weighted"),
     )
 
 

@@ -82,12 +82,13 @@ def kde(df: DataFrame, metrics: list[str], points: int = KDE_POINTS) -> DataFram
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1))
     )
-    z = (F.col("x") - F.col("value")) / F.col("h")
+    # A constant column has no bandwidth and so no density.
+    z = F.try_divide(F.col("x") - F.col("value"), "h")
     return (
         spread.groupBy("metric", "point", "x", "n", "h")
         .agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s"))
         .select("metric", F.col("point").cast("bigint").alias("point"), "x",
-                (F.col("s") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi())))
+                F.try_divide(F.col("s"), F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))
                 .alias("density"))
     )
 
