@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
 PARTS = ["ingest", "features", "text", "retrieval", "vectors", "models", "streams"]
@@ -14,8 +15,19 @@ def _collect(attribute: str) -> dict:
     return found
 
 
+def _in_utc(query):
+    """Timestamps without a zone are read as UTC whatever the session was started with."""
+
+    @functools.wraps(query)
+    def run(spark, sf):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf)
+
+    return run
+
+
 def queries() -> dict:
-    return _collect("QUERIES")
+    return {name: _in_utc(query) for name, query in _collect("QUERIES").items()}
 
 
 def oracles() -> dict[str, str]:
