@@ -53,3 +53,36 @@ def salted_join(big: DataFrame, dim: DataFrame, on: list[str], how: str,
     copies = dim.withColumn("_salt", F.explode(
         F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+HEAVY_SHARES = 2000
+
+
+def weighted_join(big: DataFrame, dim: DataFrame, on: str, weight: str, how: str,
+                  spread_by: list[str], shares: int = HEAVY_SHARES) -> DataFrame:
+    """Join ``big`` to ``dim``, unique and never NULL on ``on``, without a hot task.
+
+    ``weight`` is a column of ``dim`` with the number of rows of ``big`` per
+    key. The keys that hold at least one of ``shares`` parts of all rows are at
+    most ``shares`` many, so broadcasting them is bounded at any size; the
+    others are shuffled and none is larger than such a part. Rows that the
+    broadcast has settled are spread by a hash of ``spread_by``. The weight is
+    not part of the result; ``how`` is inner or left.
+    """
+    columns = [c for c in dim.columns if c not in (on, weight)]
+    total = dim.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    bound = max(2, -(-total // shares))
+    heavy = dim.where(F.col(weight) >= bound).select(
+        on, F.lit(True).alias("_heavy"), *[F.col(c).alias(f"_h_{c}") for c in columns])
+    light = dim.where(F.col(weight) < bound).select(
+        on, F.lit(0).cast("bigint").alias("_spread"), F.lit(True).alias("_light"),
+        *[F.col(c).alias(f"_l_{c}") for c in columns])
+    split = big.join(F.broadcast(heavy), on, "left").withColumn(
+        "_spread", F.when(F.col("_heavy") | F.col(on).isNull(),
+                          F.pmod(F.xxhash64(*spread_by), F.lit(1 << 30)) + 1)
+        .otherwise(F.lit(0).cast("bigint")))
+    joined = split.join(light, [on, "_spread"], "left")
+    if how == "inner":
+        joined = joined.where(F.col("_heavy") | F.col("_light"))
+    return joined.select(*big.columns, *[
+        F.coalesce(f"_h_{c}", f"_l_{c}").alias(c) for c in columns])
