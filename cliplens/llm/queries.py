@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["q_decontaminate", "q_tokens", "q_bpe"]
+PARTS = ["q_decontaminate", "q_tokens", "q_bpe", "q_simhash"]
 
 
 def _collect(attribute: str) -> dict:
