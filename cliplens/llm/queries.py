@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["q_decontaminate", "q_tokens", "q_bpe", "q_simhash"]
+PARTS = ["q_decontaminate", "q_tokens", "q_language", "q_simhash", "q_bpe"]
 
 
 def _collect(attribute: str) -> dict:
