@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ["q_decontaminate", "q_tokens", "q_language", "q_simhash", "q_bpe"]
+import corpus_pipeline
+
+PARTS = ["q_decontaminate", "q_tokens", "q_language", "q_lines", "q_simhash", "q_bpe"]
 
 
 def _collect(attribute: str) -> dict:
@@ -15,7 +17,7 @@ def _collect(attribute: str) -> dict:
 
 
 def queries() -> dict:
-    return _collect("QUERIES")
+    return {**_collect("QUERIES"), "pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:

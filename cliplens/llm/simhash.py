@@ -152,11 +152,11 @@ def link_fingerprints(unique: DataFrame, distance: int = MAX_DISTANCE) -> DataFr
 def _groups(prints: DataFrame, distance: int) -> DataFrame:
     """(fingerprint, n, least) of each fingerprint: its rows and the first row of its component.
 
-    ``prints`` is a written table of (_id, _digest, fingerprint). Rows are in
+    ``prints`` is a written table of (__id, __digest, fingerprint). Rows are in
     order of id, NULL last, then of digest.
     """
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"),
-                           F.col("_digest").alias("digest")))
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"),
+                           F.col("__digest").alias("digest")))
     unique = materialize(
         prints.groupBy("fingerprint").agg(first.alias("least"), F.count("*").alias("n")),
         "distinct-fingerprints")
@@ -172,13 +172,13 @@ def _groups(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def _printed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("_text"))
     return materialize(
-        fingerprints(rows, "_text").select("_id", _digest("_text").alias("_digest"), "fingerprint"),
+        fingerprints(rows, "_text").select("__id", text_digest("_text").alias("__digest"), "fingerprint"),
         "fingerprints")
 
 
-def _digest(text_col: str):
+def text_digest(text_col: str):
     return F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
 
 
@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = _printed(docs, id_col, text_col)
     named = _groups(prints, distance).select(
         "fingerprint", "n", F.col("least.id").alias("component_id"))
-    return weighted_join(prints.drop("_digest"), named, "fingerprint", "n", "inner",
-                         ["_id"]).select(F.col("_id").alias(id_col), "fingerprint", "component_id")
+    return weighted_join(prints.drop("__digest"), named, "fingerprint", "n", "inner",
+                         ["__id"]).select(F.col("__id").alias(id_col), "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -211,13 +211,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table stays empty.
     """
     chosen = _groups(_printed(docs, id_col, text_col), distance).select("least").distinct().select(
-        F.col("least.none").alias("_none"), F.coalesce("least.id", F.lit(0)).alias("_id"),
-        F.col("least.digest").alias("_digest"))
-    keys = ["_none", "_id", "_digest"]
+        F.col("least.none").alias("__none"), F.coalesce("least.id", F.lit(0)).alias("__id"),
+        F.col("least.digest").alias("__digest"))
+    keys = ["__none", "__id", "__digest"]
     keyed = docs.withColumns({
-        "_none": F.col(id_col).isNull(), "_id": F.coalesce(id_col, F.lit(0)),
-        "_digest": _digest(text_col)})
+        "__none": F.col(id_col).isNull(), "__id": F.coalesce(id_col, F.lit(0)),
+        "__digest": text_digest(text_col)})
     # Both the join and the window are by the same keys: one shuffle.
     alike = Window.partitionBy(*keys).orderBy(F.lit(0))
     return keyed.join(chosen, keys, "left_semi").withColumn(
-        "_copy", F.row_number().over(alike)).where("_copy = 1").select(*docs.columns)
+        "__copy", F.row_number().over(alike)).where("__copy = 1").select(*docs.columns)
