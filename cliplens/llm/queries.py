@@ -6,7 +6,8 @@ import importlib
 
 import corpus_pipeline
 
-PARTS = ["q_decontaminate", "q_tokens", "q_language", "q_lines", "q_simhash", "q_bpe"]
+PARTS = ["q_decontaminate", "q_tokens", "q_language", "q_lines", "q_simhash", "q_bpe",
+         "q_topk"]
 
 
 def _collect(attribute: str) -> dict:
