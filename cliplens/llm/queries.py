@@ -7,7 +7,7 @@ import importlib
 import corpus_pipeline
 
 PARTS = ["q_decontaminate", "q_tokens", "q_language", "q_lines", "q_simhash", "q_bpe",
-         "q_sharding", "q_topk"]
+         "q_linkgraph", "q_sharding", "q_topk"]
 
 
 def _collect(attribute: str) -> dict:
