@@ -6,8 +6,8 @@ import importlib
 
 import corpus_pipeline
 
-PARTS = ["q_decontaminate", "q_tokens", "q_language", "q_lines", "q_simhash", "q_bpe",
-         "q_linkgraph", "q_sharding", "q_topk"]
+PARTS = ["q_decontaminate", "q_tokens", "q_chat", "q_sharding", "q_language", "q_lines",
+         "q_simhash", "q_bpe", "q_linkgraph", "q_topk"]
 
 
 def _collect(attribute: str) -> dict:
