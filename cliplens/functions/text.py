@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The stop list (two of its entries are repeated in the source list).
+# The stop list (one of its entries is repeated in the source list).
 STOP_WORDS = [
     "的", "是", "了", "在", "我", "你", "他", "她", "它", "们", "都", "也",
     "一个", "怎么", "这种", "这个", "一下", "真的", "就是", "还是", "不是",

@@ -50,6 +50,11 @@ def parse_judgement(text: Column) -> dict[str, Column]:
     }
 
 
+def whole(number: Column) -> Column:
+    """Digits in groups of three, the fraction cut off towards zero."""
+    return F.format_number(F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)), 0)
+
+
 def ten_thousands(views: Column) -> Column:
     """Whole ten-thousands, truncated."""
     return F.floor(views / 10000)
@@ -74,7 +79,7 @@ def prompt_context(title: Column, category: Column, predicted: Column, rules: Co
     # The field captions.
     return F.concat(
         F.lit("- 标题："), title, F.lit("\n- 分区："), category,
-        F.lit("\n- 预测模型预估播放量："), F.format_number(predicted, 0),
+        F.lit("\n- 预测模型预估播放量："), whole(predicted),
         F.lit("\n- 预测模型特征分析：\n"), explanation_lines(rules),
         F.lit("\n"), F.array_join(shown, "\n"),
     )
@@ -83,7 +88,7 @@ def prompt_context(title: Column, category: Column, predicted: Column, rules: Co
 def prediction_text(predicted: Column, bucket: Column, rules: Column) -> Column:
     # The captions of the answer.
     return F.concat(
-        F.lit("预估播放量："), F.format_number(predicted, 0), F.lit(" 次\n所属档位："), bucket,
+        F.lit("预估播放量："), whole(predicted), F.lit(" 次\n所属档位："), bucket,
         F.lit("\n\n特征分析：\n"), explanation_lines(rules))
 
 

@@ -12,36 +12,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliplens.operators.joins import salted_join
+from cliplens.operators.joins import lookup_join
+from cliplens.session import materialize
 
-RANGES = 64
+RANGE_VALUES = 50_000
 MAX_DISTINCT = 100_000
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      ranges: int = RANGES, max_distinct: int = MAX_DISTINCT) -> DataFrame:
-    """One row per group with a column per entry of ``probs``, linearly interpolated."""
-    counts = (
+                      ranges: int | None = None, max_distinct: int = MAX_DISTINCT) -> DataFrame:
+    """One row per group with a column per entry of ``probs``, linearly interpolated.
+
+    The number of ranges of a group follows the widest group.
+    """
+    counts = materialize(
         df.where(F.col(value).isNotNull())
         .select(*keys, F.col(value).cast("double").alias("_v"))
-        .groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    )
+        .groupBy(*keys, "_v").agg(F.count("*").alias("_c")), "value-counts")
     widest = counts.groupBy(*keys).agg(F.count("*").alias("d")).agg(F.max("d")).first()[0] or 0
     if widest <= max_distinct:
         return counts.groupBy(*keys).agg(*[
             F.percentile("_v", p, F.col("_c")).alias(name) for name, p in probs.items()])
-    return _ranked_quantiles(counts, keys, probs, ranges)
+    return _ranked_quantiles(counts, keys, probs, ranges or max(2, -(-widest // RANGE_VALUES)))
 
 
 def _ranked_quantiles(counts: DataFrame, keys: list[str], probs: dict[str, float],
                       ranges: int) -> DataFrame:
     cuts = [i / ranges for i in range(1, ranges)]
     sketch = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", cuts, 1000).alias("_cuts"), F.sum("_c").alias("_n")
+        F.percentile_approx("_v", cuts, max(1000, 4 * ranges)).alias("_cuts"), F.sum("_c").alias("_n")
     )
-    # Salted, so a hot group is spread over tasks; with few groups the sketches
-    # are small and AQE turns this into a broadcast join.
-    ranged = salted_join(counts, sketch, keys, "inner", salt_by=["_v"]).withColumn(
+    # A hot group is a heavy key of this join, so it is spread over tasks.
+    ranged = lookup_join(counts, materialize(sketch, "sketches"), keys, "inner", salt_by=["_v"]).withColumn(
         "_range", F.size(F.filter("_cuts", lambda s: s < F.col("_v")))
     ).drop("_cuts")
     in_range = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(

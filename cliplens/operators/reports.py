@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliplens.operators.joins import lookup_join
+from cliplens.operators.joins import fits_broadcast, lookup_join
 from cliplens.operators.quantiles import grouped_quantiles
+from cliplens.operators.ranking import numbered
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -30,9 +31,7 @@ def topic_stats(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
         F.sum("view_count").alias("total_views"),
         F.avg("view_count").alias("average_views"),
     )
-    # The statistics hold one row per cluster, so ranking them is cheap.
-    by_views = Window.orderBy(F.col("total_views").desc(), F.col(cluster))
-    return stats.withColumn("topic_rank", F.row_number().over(by_views).cast("bigint"))
+    return numbered(stats, [F.col("total_views").desc(), F.col(cluster)], "topic_rank")
 
 
 def top_videos(df: DataFrame, k: int = 5, cluster: str = "cluster_id") -> DataFrame:
@@ -78,8 +77,12 @@ def topic_report(videos: DataFrame, keywords: DataFrame, top_k_videos: int = 5)
 
 
 def enrich_category(df: DataFrame, mapping: DataFrame, default: str = "未知") -> DataFrame:
-    names = mapping.select("video_id", F.col("category").alias("_category"))
-    joined = lookup_join(df.drop("category"), names, ["video_id"])
+    """``df``, usually the smaller side, with the category of each id."""
+    names, rows = mapping.select("video_id", F.col("category").alias("_category")), df.drop("category")
+    if fits_broadcast(rows):
+        joined = names.join(F.broadcast(rows), "video_id", "right")
+    else:
+        joined = lookup_join(rows, names, ["video_id"])
     return joined.withColumn("category", F.coalesce("_category", F.lit(default))).drop("_category")
 
 

@@ -1,57 +1,95 @@
 """TF-IDF weights, keyword extraction and hashed text vectors.
 
-A document's text is placed by one shuffle on the document id. Segmenting,
-counting, weighting and normalising then run without another shuffle of terms,
-because every later grouping contains that id, and the vocabulary and the
-weights read the same shuffled texts.
+A document is one row, so its terms are counted, weighted, normalised and
+hashed inside the row, in Arrow batches. Texts are never shuffled; what is
+shuffled are counts per term, added up before the shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cliplens.operators.joins import MAX_BROADCAST_BYTES, lookup_join
+from cliplens.session import materialize
 
 RETRIEVAL_TERMS = 10_000
 MODEL_TERMS = 1_000
+WEIGHTS = "array<struct<term:string,weight:double>>"
 
 
-def doc_terms(docs: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
-    """(keys, term, tf), partitioned by the last key, the document id."""
-    return (
-        docs.repartition(keys[-1])
-        .select(*keys, F.explode(tokens).alias("term"))
-        .groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    )
+TERMS = "array<struct<term:string,tf:bigint>>"
+
+
+def _in_rows(df: DataFrame, column: str, out: str, kind: str, change) -> DataFrame:
+    """``df`` with ``column`` replaced by ``out``: ``change`` maps the values of a batch."""
+    kept = [f for f in df.schema.fields if f.name != column]
+    schema = T.StructType([*kept, *T.StructType.fromDDL(f"{out} {kind}").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array(change(batch.column(column).to_pylist()), arrow.field(out).type)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), made], schema=arrow)
 
+    return df.select(*[f.name for f in kept], column).mapInArrow(run, schema)
 
-def vocabulary(tf: DataFrame, n_docs: Column, max_terms: int) -> DataFrame:
+
+def _count_terms(rows: list) -> list:
+    return [[{"term": t, "tf": n} for t, n in Counter(tokens or ()).items()] for tokens in rows]
+
+
+def counted(docs: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
+    """(keys, terms): one row per document with its distinct terms and their counts, written once."""
+    rows = _in_rows(docs.select(*keys, tokens.alias("tokens")), "tokens", "terms", TERMS, _count_terms)
+    return materialize(rows, "terms", compression="zstd")
+
+
+def vocabulary(rows: DataFrame, max_terms: int) -> DataFrame:
     """The ``max_terms`` commonest terms with document frequency and smooth idf."""
-    counts = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    n_docs = rows.count()
+    counts = rows.select(F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg(
+        F.count("*").alias("df"), F.sum("t.tf").alias("total"))
     return (
         counts.orderBy(F.col("total").desc(), "term").limit(max_terms)
         .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1)
     )
 
 
-def normalised_weights(tf: DataFrame, vocab: DataFrame, doc: str) -> DataFrame:
-    """(doc, term, weight) with unit length per document, over the vocabulary only.
+def idf_of(vocab: DataFrame) -> dict[str, float]:
+    """The vocabulary as a dict; its size is bounded by ``max_terms``."""
+    return {r["term"]: r["idf"] for r in vocab.select("term", "idf").collect()}
 
-    The vocabulary has at most ``max_terms`` rows by construction, so it is
-    broadcast and frequent terms are never shuffled.
-    """
-    known = tf.join(F.broadcast(vocab.select("term", "idf")), "term")
-    raw = known.withColumn("_w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
-    return raw.select(doc, "term", (F.col("_w") / length).alias("weight"))
+
+def document_weights(rows: DataFrame, doc: str, idf: dict[str, float]) -> DataFrame:
+    """(doc, weights): unit length per document, over the vocabulary only."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+
+    def weigh(batch: list) -> list:
+        known, out = shared.value, []
+        for row in batch:
+            raw = [(t["term"], t["tf"] * known[t["term"]]) for t in row if t["term"] in known]
+            length = math.sqrt(sum(w * w for _, w in raw))
+            out.append([{"term": t, "weight": w / length} for t, w in raw])
+        return out
+
+    return _in_rows(rows.select(doc, "terms"), "terms", "weights", WEIGHTS, weigh)
 
 
 def tfidf_weights(docs: DataFrame, doc: str, tokens: Column,
                   max_terms: int = RETRIEVAL_TERMS) -> DataFrame:
-    tf = doc_terms(docs, [doc], tokens)
-    vocab = vocabulary(tf, docs.agg(F.count("*")).scalar(), max_terms)
-    return normalised_weights(tf, vocab, doc)
+    """(doc, term, weight) rows."""
+    rows = counted(docs, [doc], tokens)
+    weights = document_weights(rows, doc, idf_of(vocabulary(rows, max_terms)))
+    return weights.select(doc, F.explode("weights").alias("w")).select(doc, "w.term", "w.weight")
 
 
 def keyword_counts(docs: DataFrame, words: Column) -> DataFrame:
@@ -67,29 +105,37 @@ def topic_keywords(docs: DataFrame, words: Column, tokens: Column, top_k: int =
     pruning, falls back to plain counts of its words.
     """
     docs = docs.where(F.col(cluster).isNotNull())
-    sizes = docs.groupBy(cluster).agg(F.count("*").alias("n_docs"))
+    rows = counted(docs, [cluster, doc], tokens)
+    sizes = rows.groupBy(cluster).agg(F.count("*").alias("n_docs"))
     # Tables with a few rows per cluster are broadcast if the clusters are few enough.
     few = sizes.count() * 2 * top_k * 256 <= MAX_BROADCAST_BYTES
-    tf = doc_terms(docs, [cluster, doc], tokens)
-    stats = tf.groupBy(cluster, "term").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("total")
-    )
+    stats = rows.select(cluster, F.explode("terms").alias("t")).groupBy(
+        cluster, F.col("t.term").alias("term")).agg(
+        F.count("*").alias("df"), F.sum("t.tf").alias("total"))
     kept = lookup_join(stats, sizes, [cluster], "inner", few, salt_by=["term"]).where(
         (F.col("df") >= 2) & (F.col("df") <= 0.95 * F.col("n_docs"))
     )
     by_total = Window.partitionBy(cluster).orderBy(F.col("total").desc(), "term")
     vocab = (
         kept.withColumn("_rn", F.row_number().over(by_total)).where(F.col("_rn") <= 2 * top_k)
-        .select(cluster, "term", "n_docs",
-                (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1)
-                .alias("idf"))
+        .groupBy(cluster).agg(F.max("n_docs").alias("n_docs"), F.collect_list(F.struct(
+            "term", (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1)
+            .alias("idf"))).alias("vocab"))
     )
-    raw = lookup_join(tf, vocab, [cluster, "term"], "inner", few, salt_by=[doc]).withColumn(
-        "_w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
+    vocab = materialize(vocab, "cluster-terms")
+    # A document meets its cluster's few terms in its own row.
+    known = F.map_from_entries("terms")
+    raw = F.filter(F.transform("vocab", lambda v: F.struct(
+        v["term"].alias("term"),
+        (F.coalesce(F.try_element_at(known, v["term"]), F.lit(0)) * v["idf"]).alias("w"))),
+        lambda v: v["w"] > 0)
+    length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, v: s + v["w"] * v["w"]))
     scored = (
-        raw.withColumn("_w", F.col("_w") / length)
-        .groupBy(cluster, "term").agg((F.sum("_w") / F.max("n_docs")).alias("score"))
+        lookup_join(rows, vocab, [cluster], "inner", few, salt_by=[doc])
+        .select(cluster, "n_docs", raw.alias("raw"))
+        .select(cluster, "n_docs", length.alias("length"), F.explode("raw").alias("t"))
+        .groupBy(cluster, "t.term").agg(
+            (F.sum(F.col("t.w") / F.col("length")) / F.max("n_docs")).alias("score"))
     )
     bare = sizes.select(cluster).join(vocab.select(cluster), cluster, "left_anti")
     plain = (
@@ -105,27 +151,25 @@ def topic_keywords(docs: DataFrame, words: Column, tokens: Column, top_k: int =
     )
 
 
-def hashed_vectors(docs: DataFrame, doc: str, tokens: Column, dim: int = 64) -> DataFrame:
-    """(doc, embedding): signed token hashing to ``dim`` slots, unit length.
+def vectors_of_terms(rows: DataFrame, doc: str, dim: int = 64) -> DataFrame:
+    """(doc, embedding) from counted terms: signed hashing to ``dim`` slots, unit length."""
+    def embed(batch: list) -> list:
+        places: dict[str, tuple[int, int]] = {}
+        out = []
+        for row in batch:
+            slots = [0] * dim
+            for t in row:
+                if (place := places.get(t["term"])) is None:
+                    code = int(hashlib.md5(t["term"].encode()).hexdigest()[:8], 16)
+                    place = places[t["term"]] = (code % dim, 1 if code // dim % 2 == 0 else -1)
+                slots[place[0]] += place[1] * t["tf"]
+            length = math.sqrt(sum(v * v for v in slots))
+            out.append([v / length if length else 0.0 for v in slots])
+        return out
 
-    Every document keeps a row; one without tokens gets the zero vector.
-    """
-    code = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint")
-    sign = F.when(F.pmod(F.floor(code / dim), F.lit(2)) == 0, 1).otherwise(-1)
-    slots = (
-        docs.repartition(doc)
-        .select(doc, F.explode_outer(tokens).alias("term"))
-        .groupBy(doc, "term").agg(F.count("*").alias("tf"))
-        .groupBy(doc, F.pmod(code, F.lit(dim)).alias("slot"))
-        .agg(F.sum(sign * F.col("tf")).cast("double").alias("v"))
-    )
-    sparse = slots.groupBy(doc).agg(
-        F.map_from_entries(F.collect_list(F.when(
-            F.col("slot").isNotNull(), F.struct("slot", "v")))).alias("_m"),
-        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_len"),
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")),
-        lambda i: F.coalesce(F.try_divide(F.col("_m")[i], F.col("_len")), F.lit(0.0)),
-    )
-    return sparse.select(doc, dense.alias("embedding"))
+    return _in_rows(rows.select(doc, "terms"), "terms", "embedding", "array<double>", embed)
+
+
+def hashed_vectors(docs: DataFrame, doc: str, tokens: Column, dim: int = 64) -> DataFrame:
+    """(doc, embedding) of each text; one without tokens gets the zero vector."""
+    return vectors_of_terms(counted(docs, [doc], tokens), doc, dim)

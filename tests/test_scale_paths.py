@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cliplens.operators import blocks, density, joins, models, profile, quantiles, search, vectors
+from cliplens.operators import (
+    blocks, components, density, joins, models, profile, quantiles, ranking, search, vectors,
+)
 from cliplens.plans.inputs import videos
 from tests.conftest import SF
 
@@ -22,7 +24,7 @@ def cloud():
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 16 * 4 * 8)
     monkeypatch.setattr(blocks.Cells.__init__, "__defaults__", (8,))
 
 
@@ -61,10 +63,10 @@ def brute_dbscan(x, eps, min_samples):
     return near.sum(1), core, label
 
 
-@pytest.mark.parametrize("small_joins", [False, True])
-def test_dbscan_equals_brute_force(spark, cloud, small_blocks, monkeypatch, small_joins):
-    if small_joins:
-        monkeypatch.setattr(density, "MAX_BROADCAST_BYTES", 0)
+@pytest.mark.parametrize("split_joins", [False, True])
+def test_dbscan_equals_brute_force(spark, cloud, small_blocks, monkeypatch, split_joins):
+    if split_joins:
+        monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
     n, core, label = brute_dbscan(cloud, 0.35, 5)
     rows = density.dbscan(frame(spark, cloud), 0.35, 5).collect()
     assert {(r.id, r.is_core, r.cluster) for r in rows} == {
@@ -80,6 +82,59 @@ def test_long_chain_is_one_component(spark):
     assert got.where("root = 0").count() == 300
 
 
+def test_zigzag_path_is_one_component(spark):
+    """Neighbouring ids jump up and down, so no label can run along the path by itself."""
+    order = [x for pair in zip(range(0, 200), range(399, 199, -1)) for x in pair]
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "u bigint, v bigint")
+    got = density.connected_labels(spark.range(402), edges)
+    assert got.where("root = 0").count() == 400
+    assert {r.root for r in got.where("id >= 400").collect()} == {400, 401}
+
+
+def test_components_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (190, 2))] + [(5, 5), (7, None)]
+    edges += [(1000, i) for i in range(1001, 1100)]  # a hub
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if b is not None:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = components.connected_components(spark.createDataFrame(edges, "u bigint, v bigint"))
+    assert {r.id: r.root for r in got.collect()} == {x: find(x) for x in list(parent)}
+    assert components.connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_dbscan_of_a_long_line(spark):
+    line = frame(spark, [(i * 0.1, 0.0) for i in range(600)])
+    assert {r.cluster for r in density.dbscan(line, 0.15, 2).collect()} == {0}
+
+
+def test_numbering_has_no_gaps(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x")).repartition(7)
+    got = {r.x: r.n for r in ranking.numbered(rows, [F.col("x").desc()], "n").collect()}
+    assert got == {x: i for i, x in enumerate(sorted(got, reverse=True), 1)}
+
+
+def test_variant_ids_never_collide(spark):
+    rows = [(1, f"v{i}") for i in range(120)] + [(2, f"v{i}") for i in range(5)]
+    got = search.number_variants(spark.createDataFrame(rows, "query_id bigint, variant string")).collect()
+    assert len({r.variant_id for r in got}) == 125
+
+
+def test_null_labels_are_in_no_cluster(spark):
+    x = np.array([[0.0, i * 0.01] for i in range(20)] + [[9.0, i * 0.01] for i in range(20)] + [[50.0, 50.0]] * 10)
+    pts = frame(spark, x).withColumn("label", F.when(F.col("id") < 20, 0).when(F.col("id") < 40, 1))
+    assert vectors.silhouette(pts, ["label"]).first().score > 0.97
+
+
 def test_silhouette_in_blocks(spark, cloud, small_blocks):
     label = np.arange(len(cloud)) % 3
     label[0] = 9  # a cluster of one
@@ -108,6 +163,14 @@ def test_kmeans_finds_the_groups(spark, cloud):
     assert sorted(r["count"] for r in sizes) == [40, 40, 40]
 
 
+def test_starts_come_from_all_points_and_empty_centers_move(spark, cloud):
+    far = np.vstack([np.zeros((200, 2)), [[100.0, 100.0]], [[-100.0, 50.0]]])
+    centers = vectors.kmeans_sweep(frame(spark, far), [3], 2)[3]
+    assert sorted(map(tuple, np.round(centers))) == [(-100, 50), (0, 0), (100, 100)]
+    with pytest.warns(UserWarning, match="not settled"):
+        vectors.kmeans_sweep(frame(spark, cloud), [9], 1, max_iter=0)
+
+
 def test_pca_equals_svd(spark, cloud):
     centred = cloud - cloud.mean(0)
     _, _, vt = np.linalg.svd(centred, full_matrices=False)
@@ -130,7 +193,18 @@ def test_quantiles_of_a_hot_group(spark):
     assert all(np.allclose(fast[g], slow[g]) for g in fast)
 
 
-def test_salted_join_equals_broadcast(spark):
+def test_heavy_keys_are_not_shuffled(spark):
+    """A key of a third of the rows is settled by broadcast and its rows are spread."""
+    big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    dim = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    got = joins.lookup_join(big, dim, ["k"], "left", max_bytes=0, salt_by=["id"])
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString() and got.where("v = k * 10").count() == 3000
+    counts = dim.join(big.groupBy("k").agg(F.count("*").alias("n")), "k")
+    weighted = joins.weighted_join(big, counts, "k", "n", "inner", ["id"], shares=100)
+    assert weighted.columns == ["id", "k", "v"] and weighted.where("v = k * 10").count() == 3000
+
+
+def test_split_join_equals_broadcast(spark):
     big = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 9).alias("k"))
     dim = spark.range(8).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     for how in ["left", "inner", "left_semi", "left_anti"]:
@@ -139,12 +213,12 @@ def test_salted_join_equals_broadcast(spark):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
-def test_sparse_search_both_paths(spark, monkeypatch):
+def test_sparse_search_in_blocks(spark, monkeypatch):
     corpus = videos(spark, SF, "video_id", "title", "view_count", "category", "cluster_id")
     asked = search.number_variants(corpus.where("view_count < 400000").select(
         F.col("video_id").alias("query_id"), F.col("title").alias("variant")))
     a = {(r.query_id, r.video_id) for r in search.sparse_hits(asked, corpus, 3).collect()}
-    monkeypatch.setattr(search, "MAX_QUERY_BYTES", 0)
+    monkeypatch.setattr(search, "QUERY_BLOCK_BYTES", 8 * 10_000)
     b = {(r.query_id, r.video_id) for r in search.sparse_hits(asked, corpus, 3).collect()}
     assert a == b and a
 
