@@ -71,8 +71,14 @@ def explanation_lines(rules: Column) -> Column:
     )), "\n")
 
 
+def importance_lines(importance: Column) -> Column:
+    """The first three of ordered (feature, score) pairs, four decimals each."""
+    return F.array_join(F.transform(F.slice(importance, 1, 3), lambda e: F.concat(
+        F.lit("- "), e["feature"], F.lit(": "), F.format_string("%.4f", e["score"]))), "\n")
+
+
 def prompt_context(title: Column, category: Column, predicted: Column, rules: Column,
-                   similar: Column) -> Column:
+                   similar: Column, importance: Column | None = None) -> Column:
     """The data part of the advice prompt: first three similar titles, grouped digits."""
     shown = F.transform(F.slice(similar, 1, 3),
                         lambda s: similar_line(s["title"], s["view_count"]))
@@ -81,6 +87,7 @@ def prompt_context(title: Column, category: Column, predicted: Column, rules: Co
         F.lit("- 标题："), title, F.lit("\n- 分区："), category,
         F.lit("\n- 预测模型预估播放量："), whole(predicted),
         F.lit("\n- 预测模型特征分析：\n"), explanation_lines(rules),
+        *([] if importance is None else [F.lit("\n"), importance_lines(importance)]),
         F.lit("\n"), F.array_join(shown, "\n"),
     )
 
@@ -102,6 +109,44 @@ def advice_record(title: Column, reply: dict[str, Column], n_similar: Column) ->
     }
 
 
+SIMILAR = "array<struct<title:string,view_count:bigint>>"
+RULES = "array<struct<feature:string,effect:string,reason:string>>"
+
+
+def title_advice(requests: DataFrame, hits: DataFrame | None = None,
+                 predictions: DataFrame | None = None, replies: DataFrame | None = None,
+                 importance: list[tuple[str, float]] | None = None) -> DataFrame:
+    """One advice record per request: similar titles, prompt, advice, diagnosis, summary.
+
+    ``requests`` has (request_id, title, category), ``hits`` the few ranked rows
+    of a hybrid search as (query_id, rank, title, view_count), ``predictions``
+    (request_id, predicted_view, explanations) and ``replies`` (request_id,
+    reply). A part that is missing, whole or for one request, leaves its
+    defaults: no similar titles, 0 views without explanations, rule-based advice.
+    """
+    out = requests
+    if hits is not None:
+        similar = hits.groupBy(F.col("query_id").alias("request_id")).agg(F.array_sort(F.collect_list(
+            F.struct("rank", "title", "view_count"))).alias("_hits"))
+        out = out.join(similar, "request_id", "left").withColumn("similar_titles", F.transform(
+            "_hits", lambda h: F.struct(h["title"], h["view_count"]))).drop("_hits")
+    if predictions is not None:
+        out = out.join(predictions.select("request_id", "predicted_view", "explanations"), "request_id", "left")
+    if replies is not None:
+        out = out.join(replies.select("request_id", "reply"), "request_id", "left")
+    defaults = {"similar_titles": F.array().cast(SIMILAR), "predicted_view": F.lit(0.0),
+                "explanations": F.array().cast(RULES), "reply": F.lit("{}")}
+    out = out.withColumns({c: F.coalesce(c, d) if c in out.columns else d for c, d in defaults.items()})
+    scores = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(s)).alias("score"))
+                       for f, s in importance or []]).cast("array<struct<feature:string,score:double>>")
+    record = advice_record(F.col("title"), parse_reply(F.col("reply")), F.size("similar_titles"))
+    return out.select(
+        "request_id", "similar_titles",
+        prompt_context(F.col("title"), F.col("category"), F.col("predicted_view"),
+                       F.col("explanations"), F.col("similar_titles"), scores).alias("prompt"),
+        *[c.alias(name) for name, c in record.items()])
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """Newest status per task; ``finished_at`` only for terminal ones."""
     last = events.groupBy("task_id").agg(

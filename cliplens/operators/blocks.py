@@ -22,7 +22,8 @@ from cliplens.operators.joins import fits_broadcast, lookup_join
 from cliplens.session import materialize
 
 BLOCK_ROWS = 2048
-PIVOTS = 64
+MIN_PIVOTS, MAX_PIVOTS = 8, 1024
+QUERY_SPLIT = 1
 TIE_DIGITS = 9
 SLACK = 1e-6
 
@@ -120,10 +121,16 @@ def distinct_vectors(points: DataFrame, id_col: str = "id") -> tuple[DataFrame,
     return reps, members
 
 
+def pivot_count(n: int) -> int:
+    """Pivots grow with the square root of the points, within what a task can compare."""
+    return min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(n) // 4))
+
+
 class Cells:
-    """Pivots with the size and radius of each cell; bounded by the pivot count."""
+    """Points by nearest pivot, written once, with the size and radius of each cell."""
 
-    def __init__(self, points: DataFrame, pivots: int = PIVOTS):
+    def __init__(self, points: DataFrame, pivots: int | None = None):
+        pivots = pivots or pivot_count(points.count())
         chosen = (
             points.select("id", "embedding").orderBy(F.md5(F.col("id").cast("string")), "id")
             .limit(pivots).collect()
@@ -141,7 +148,7 @@ class Cells:
 
         schema = T.StructType(points.schema.fields + [
             T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
-        self.points = points.mapInPandas(assign, schema)
+        self.points = materialize(points.mapInPandas(assign, schema), "cells")
         self.size = np.zeros(len(centers), dtype=np.int64)
         self.radius = np.zeros(len(centers))
         if len(centers):
@@ -150,10 +157,16 @@ class Cells:
                 self.size[r["cell"]], self.radius[r["cell"]] = r["n"], r["r"]
         self.chunks = np.maximum(1, -(-self.size // BLOCK_ROWS))
 
-    def probes(self, q: np.ndarray, k: int | None, eps: float | None) -> np.ndarray:
-        """Which cells each query must visit."""
+    def probes(self, q: np.ndarray, k: int | None, eps: float | None,
+               nearest_cells: int | None = None) -> np.ndarray:
+        """Which cells each query must visit, or its nearest ones if their number is given."""
         d = np.sqrt(squared_distances(q, self.centers))
         filled = self.size > 0
+        if nearest_cells is not None:
+            order = np.argsort(np.where(filled, d, np.inf), axis=1)[:, :nearest_cells]
+            out = np.zeros(d.shape, dtype=bool)
+            np.put_along_axis(out, order, True, axis=1)
+            return out & filled
         if eps is None:
             upper = np.where(filled, d + self.radius, np.inf)
             order = np.argsort(upper, axis=1)
@@ -166,37 +179,48 @@ class Cells:
         return filled & (d - self.radius <= limit[:, None] + SLACK)
 
 
-def pair_blocks(queries: DataFrame, cells: Cells, reducer, schema: str,
-                k: int | None = None, eps: float | None = None) -> DataFrame:
-    """Run ``reducer(query_frame, point_frame)`` on every pair of blocks that matters."""
-    total = queries.count()
-    q_blocks = max(1, math.ceil(total / BLOCK_ROWS))
+def pair_blocks(queries: DataFrame, cells: Cells, reducer, schema: str, k: int | None = None,
+                eps: float | None = None, nearest_cells: int | None = None) -> DataFrame:
+    """Run ``reducer(query_frame, point_frame)`` on every pair of blocks that matters.
+
+    Queries are blocked by their own nearest pivot, so those of a block probe
+    much the same cells, and a point goes only to the query blocks that probe
+    its cell.
+    """
+    n_cells = max(1, len(cells.centers))
+    q_chunks = max(1, math.ceil(queries.count() / (BLOCK_ROWS * n_cells)))
     chunks = cells.chunks
+    probe_args = _ProbeArgs(cells.centers, cells.size, cells.radius)
 
     def route(batches):
         for batch in batches:
             if batch.empty:
                 continue
-            rows, cols = np.nonzero(cells_probe(matrix(batch["embedding"])))
+            q = matrix(batch["embedding"])
+            rows, cols = np.nonzero(Cells.probes(probe_args, q, k, eps, nearest_cells))
+            home = squared_distances(q, probe_args.centers).argmin(1)
             reps = chunks[cols]
             out = batch.iloc[np.repeat(rows, reps)].copy()
             out["cell"] = np.repeat(cols, reps).astype("int32")
             starts = np.repeat(np.cumsum(reps) - reps, reps)
             out["chunk"] = (np.arange(len(out)) - starts).astype("int64")
+            out["home"] = np.repeat(home[rows], reps).astype("int64")
             yield out
 
-    probe_args = _ProbeArgs(cells.centers, cells.size, cells.radius)
-
-    def cells_probe(q):
-        return Cells.probes(probe_args, q, k, eps)
-
     routed_schema = T.StructType(queries.schema.fields + [
-        T.StructField("cell", T.IntegerType()), T.StructField("chunk", T.LongType())])
+        T.StructField("cell", T.IntegerType()), T.StructField("chunk", T.LongType()),
+        T.StructField("home", T.LongType())])
+    spread = F.pmod(F.xxhash64("query_id"), F.lit(q_chunks * QUERY_SPLIT))
     routed = queries.mapInPandas(route, routed_schema).withColumn(
-        "q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)))
-    n_chunks = F.element_at(F.array(*[F.lit(int(n)) for n in chunks]), F.col("cell") + 1)
-    split = cells.points.withColumn("chunk", F.pmod(F.xxhash64("id"), n_chunks)).withColumn(
-        "q_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
+        "q_block", F.col("home") * (q_chunks * QUERY_SPLIT) + spread).drop("home")
+    if not len(chunks):
+        routed = routed.limit(0)
+    n_chunks = F.element_at(F.array(*[F.lit(int(n)) for n in chunks] or [F.lit(1)]), F.col("cell") + 1)
+    placed = cells.points.withColumn("chunk", F.pmod(F.xxhash64("id"), n_chunks))
+    # Blocks of queries by cell: a small table next to the queries themselves.
+    asked = materialize(routed.groupBy("cell").agg(F.collect_set("q_block").alias("q_blocks")), "probes")
+    split = lookup_join(placed, asked, ["cell"], "inner", salt_by=["id"]).withColumn(
+        "q_block", F.explode("q_blocks")).drop("q_blocks")
     keys = ["cell", "chunk", "q_block"]
 
     def reduce_pair(q, p):
@@ -231,5 +255,43 @@ def _knn_blocks(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame({"query_id": qids[r], "id": ids, "distance": d})
 
     hits = pair_blocks(unique, Cells(slim), best, HIT_SCHEMA, k=k)
-    answers = top_k(hits, k).withColumnRenamed("query_id", "rep").drop("rank")
-    return members.withColumnRenamed("id", "query_id").join(answers, "rep").drop("rep")
+    return _of_members(top_k(hits, k), members)
+
+
+def _of_members(answers: DataFrame, members: DataFrame) -> DataFrame:
+    """The answers of a vector for each query that has it; few answers, maybe very many members."""
+    grouped = answers.groupBy(F.col("query_id").alias("rep")).agg(
+        F.collect_list(F.struct("id", "distance")).alias("_answers"))
+    named = lookup_join(members.withColumnRenamed("id", "query_id"), materialize(grouped, "answers"),
+                        ["rep"], "inner", salt_by=["query_id"])
+    return named.select("query_id", F.explode("_answers").alias("a")).select("query_id", "a.id", "a.distance")
+
+
+def knn_approx(queries: DataFrame, points: DataFrame, k: int, recall: float = 0.9,
+               check_queries: int = 200) -> tuple[DataFrame, int]:
+    """Approximate k nearest points from the nearest cells only, and how many cells that is.
+
+    Every point is indexed. The number of cells is doubled until the answers to
+    ``check_queries`` queries reach ``recall`` of the exact ones; a hot cell is
+    split into chunks by hash and each chunk is cut to its best k.
+    """
+    cells = Cells(points.select("id", "embedding"))
+
+    def best(q, p):
+        qids = q["query_id"].to_numpy()
+        r, ids, d = nearest(matrix(q["embedding"]), qids, matrix(p["embedding"]),
+                            p["id"].to_numpy(), k)
+        return pd.DataFrame({"query_id": qids[r], "id": ids, "distance": d})
+
+    some = materialize(queries.select("query_id", "embedding").orderBy(
+        F.xxhash64("query_id"), "query_id").limit(check_queries), "check-queries")
+    exact = materialize(top_k(_knn_scan(some, points, k), k).select("query_id", "id"), "exact")
+    wanted, probes = exact.count(), 1
+    while probes < len(cells.centers):
+        found = top_k(pair_blocks(some, cells, best, HIT_SCHEMA, nearest_cells=probes), k)
+        if found.join(exact, ["query_id", "id"]).count() >= recall * wanted:
+            break
+        probes *= 2
+    hits = pair_blocks(queries.select("query_id", "embedding"), cells, best, HIT_SCHEMA,
+                       nearest_cells=probes)
+    return top_k(hits, k), probes

@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    LogisticRegression, LogisticRegressionModel, RandomForestClassifier,
+)
 from pyspark.ml.feature import (
-    CountVectorizer, ElementwiseProduct, IDF, Normalizer, OneHotEncoder, StandardScaler,
+    CountVectorizerModel, ElementwiseProduct, Normalizer, OneHotEncoder, StandardScaler,
     StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliplens.functions.numbers import finite_or_zero
@@ -23,7 +25,7 @@ from cliplens.functions.title import (
     view_bucket,
 )
 from cliplens.operators.authors import add_author_features
-from cliplens.operators.tfidf import MODEL_TERMS
+from cliplens.operators.tfidf import MODEL_TERMS, counted, vocabulary
 from cliplens.schema import ensure_columns
 
 
@@ -45,27 +47,57 @@ def fit_features(train: DataFrame, max_terms: int = MODEL_TERMS) -> PipelineMode
     """Scaled numbers, one-hot category and TF-IDF of the title tokens, assembled.
 
     Scaling uses the population deviation and idf is smoothed by one, both as
-    constant factors on top of the built-in stages.
+    constant factors on top of the built-in stages. Vocabulary and idf come from
+    one pass over the terms, which are counted in each row.
     """
+    terms = counted(train.select("tokens"), [], F.col("tokens"))
+    vocab = vocabulary(terms, max_terms).orderBy(F.desc("total"), "term").collect()  # at most max_terms
+    n = terms.count()
     numeric = Pipeline(stages=[
         VectorAssembler(inputCols=NUMERIC_FEATURES, outputCol="num_raw"),
         StandardScaler(withMean=True, inputCol="num_raw", outputCol="num_sample"),
         StringIndexer(inputCol="category", outputCol="cat_index", handleInvalid="keep"),
         OneHotEncoder(inputCol="cat_index", outputCol="cat_vec", dropLast=True),
-        CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=max_terms),
-    ]).fit(train)
-    counted = numeric.transform(train)
-    n = counted.count()
-    idf = IDF(inputCol="tf", outputCol="unused").fit(counted.select("tf")).idf.toArray() + 1.0
+    ]).fit(train.select(*NUMERIC_FEATURES, "category"))
     grow = math.sqrt(n / (n - 1)) if n > 1 else 1.0
-    rest = Pipeline(stages=[
+    words = [r["term"] for r in vocab] or ["\0"]  # a vocabulary may not be empty
+    idf = [r["idf"] for r in vocab] or [0.0]
+    return PipelineModel(stages=[
+        *numeric.stages,
+        CountVectorizerModel.from_vocabulary(words, "tokens", "tf"),
         ElementwiseProduct(scalingVec=Vectors.dense([grow] * len(NUMERIC_FEATURES)),
                            inputCol="num_sample", outputCol="num"),
         ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="tfidf_raw"),
         Normalizer(p=2.0, inputCol="tfidf_raw", outputCol="tfidf"),
         VectorAssembler(inputCols=["num", "cat_vec", "tfidf"], outputCol="features"),
-    ]).fit(counted)
-    return PipelineModel(stages=[*numeric.stages, *rest.stages])
+    ])
+
+
+class ModelStore:
+    """Everything a prediction needs, in one folder: features, models and author tables."""
+
+    MODELS = {"view": LinearRegressionModel, "bucket": LogisticRegressionModel}
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def save(self, features: PipelineModel, models: dict, stats: DataFrame, defaults: DataFrame) -> None:
+        features.write().overwrite().save(f"{self.path}/features")
+        for kind, model in models.items():
+            model.write().overwrite().save(f"{self.path}/{kind}")
+        stats.write.mode("overwrite").parquet(f"{self.path}/author_stats")
+        defaults.write.mode("overwrite").parquet(f"{self.path}/author_defaults")
+
+    def features(self) -> PipelineModel:
+        return PipelineModel.load(f"{self.path}/features")
+
+    def model(self, kind: str):
+        return self.MODELS[kind].load(f"{self.path}/{kind}")
+
+    def request_features(self, requests: DataFrame) -> DataFrame:
+        """Numeric features of requests, with the authors known when the models were trained."""
+        return model_features(requests, self.spark.read.parquet(f"{self.path}/author_stats"),
+                              self.spark.read.parquet(f"{self.path}/author_defaults"))
 
 
 def fit_ridge(train: DataFrame, alpha: float = 1.0, label: str = "label"):
@@ -147,16 +179,23 @@ def predict_bucket(features: PipelineModel, model, requests: DataFrame) -> DataF
 
 
 def feature_importance(df: DataFrame, features: list[str], target: str, n_trees: int = 50,
-                       max_depth: int = 30, seed: int = 42) -> DataFrame:
-    """(feature, score) of a random forest, highest first; rows without target dropped."""
-    clean = df.na.drop(subset=[target, *features])
-    index = StringIndexer(inputCol=target, outputCol="_label")
+                       max_depth: int = 12, seed: int = 42, max_rows: int = 100_000) -> DataFrame:
+    """(feature, score) of a random forest, highest first; rows without target dropped.
+
+    The trees are grown on at most ``max_rows`` labelled rows, taken by a hash
+    of their values, since all trees are held by the driver.
+    """
+    clean = df.select(target, *features).na.drop()
+    n = clean.count()
+    if n > max_rows:
+        clean = clean.orderBy(F.xxhash64(*clean.columns, F.lit(seed))).limit(max_rows)
+    index = StringIndexer(inputCol="_target", outputCol="_label")
+    labelled = clean.withColumn("_target", F.col(target).cast("string"))
     ready = VectorAssembler(inputCols=features, outputCol="features").transform(
-        index.fit(clean.withColumn(target, F.col(target).cast("string"))).transform(
-            clean.withColumn(target, F.col(target).cast("string"))))
+        index.fit(labelled).transform(labelled))
     forest = RandomForestClassifier(
-        labelCol="_label", numTrees=n_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt",
-        seed=seed).fit(ready.select("features", "_label"))
+        labelCol="_label", numTrees=n_trees, maxDepth=max_depth, maxBins=64,
+        featureSubsetStrategy="sqrt", seed=seed).fit(ready.select("features", "_label"))
     scores = list(zip(features, (float(x) for x in forest.featureImportances.toArray())))
     return df.sparkSession.createDataFrame(scores, "feature string, score double").orderBy(
         F.col("score").desc(), "feature")

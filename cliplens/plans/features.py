@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from cliplens.functions import numbers as N
 from cliplens.functions import title as TT
 from cliplens.operators import advice, authors, models, profile, reports
-from cliplens.plans.inputs import DECORATED_SQL, VIDEOS_SQL, decorate, table, videos, with_ctes
+from cliplens.plans.inputs import (
+    DECORATED_SQL, ENGAGEMENT, VIDEOS_SQL, decorate, table, videos, with_ctes,
+)
 from cliplens.session import materialize
 
 V = with_ctes(VIDEOS_SQL)
@@ -144,8 +146,12 @@ def table_profile(spark, sf):
     return profile.table_profile(v).select("column_name", "non_null", "nulls")
 
 
+NUMERIC = ["video_id", "author_id", "view_count", *ENGAGEMENT, "cluster_id"]
+
+
 def describe_metrics(spark, sf):
-    d = profile.describe(videos(spark, sf, *METRICS), METRICS)
+    """All numeric columns of the videos."""
+    d = profile.describe(videos(spark, sf, *NUMERIC), NUMERIC)
     return d.select("metric", "n", *[N.rounded(F.col(c), 4).alias(c) for c in
                                      ["mean", "std", "min", "p25", "p50", "p75", "max"]])
 
@@ -379,7 +385,8 @@ ORACLES = {
         ["video_id", "title", "author", "author_id", "category", "publish_time", "view_count",
          "like_count", "coin_count", "favorite_count", "share_count", "comment_count",
          "cluster_id"]),
-    "describe_metrics": with_ctes(VIDEOS_SQL + "," + CELLS_SQL) + """
+    "describe_metrics": with_ctes(VIDEOS_SQL + ", cells AS (" + " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM videos" for m in NUMERIC) + ")") + """
       SELECT metric, count(value) AS n, round(avg(value), 4) AS mean,
              round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min,
              round(quantile_cont(value, 0.25), 4) AS p25, round(median(value), 4) AS p50,

@@ -96,6 +96,14 @@ def flatten_api_pages(spark, sf):
         "tags", F.array_join("tags", ",")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def flatten_api_pages_capped(spark, sf):
+    """A crawl that stops after half of the documents, and the pages it may ask for."""
+    target = table(spark, sf, "documents").count() // 2
+    items = files.flatten_pages(api_pages(spark, sf), target=target)
+    return items.select("page_no", F.col("pos").cast("bigint").alias("pos"), "video_id",
+                        F.lit(files.max_pages(target)).cast("bigint").alias("max_pages"))
+
+
 def embedding_cache_misses(spark, sf):
     v = videos(spark, sf, "video_id", "title")
     known = table(spark, sf, "labels").select(F.col("doc_id").alias("video_id"), "toxic")
@@ -155,6 +163,10 @@ def upsert_videos(spark, sf):
     return merge.upsert(videos(spark, sf, *FLAT), delta_videos(spark, sf))
 
 
+def upsert_counts(spark, sf):
+    return merge.upsert_counts(videos(spark, sf, "video_id"), delta_videos(spark, sf))
+
+
 def insert_new_only(spark, sf):
     base = videos(spark, sf, *FLAT)
     return base.unionByName(merge.unseen(delta_videos(spark, sf), base))
@@ -299,6 +311,12 @@ def lookup_by_id(spark, sf):
     return merge.get_by_ids(videos(spark, sf, *FLAT), ids)
 
 
+def lookup_one(spark, sf):
+    """The row of the largest id."""
+    largest = table(spark, sf, "documents").agg(F.max("doc_id")).first()[0]
+    return merge.get_by_id(videos(spark, sf, *FLAT), largest)
+
+
 def distinct_categories(spark, sf):
     v = videos(spark, sf, "category")
     return v.distinct().where(F.col("category").isNotNull() & (F.col("category") != ""))
@@ -343,7 +361,7 @@ def row_count(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     src_json_array, src_json_lines, scan_videos, scan_videos_projected, csv_roundtrip,
-    flatten_api_pages, embedding_cache_misses, vector_table, vector_table_count, full_refresh,
+    flatten_api_pages, flatten_api_pages_capped, upsert_counts, lookup_one, embedding_cache_misses, vector_table, vector_table_count, full_refresh,
     upsert_videos, insert_new_only, incremental_new_items, eval_log_summary, task_latest_status,
     task_status_resolve, validate_items, dedup_first, clean_videos, drop_null_target,
     lookup_by_id, distinct_categories, min_rows_guard, sample_n, train_test_split,
@@ -394,6 +412,16 @@ ORACLES = {
              coin_count, favorite_count, share_count, comment_count,
              CASE WHEN category <> 'fr' THEN author || ',' || category ELSE '' END AS tags, category
       FROM paged WHERE top <= 30000000""",
+    "flatten_api_pages_capped": with_ctes(VIDEOS_SQL + "," + _PAGES_SQL) + """,
+      n AS (SELECT count(*) // 2 AS target FROM documents)
+      SELECT page_no, CAST(pos AS BIGINT) AS pos, CAST(video_id AS VARCHAR) AS video_id,
+             CAST(greatest(1, ceil(target / 20.0)) AS BIGINT) AS max_pages
+      FROM (SELECT *, row_number() OVER (ORDER BY page_no, pos) AS rn FROM paged WHERE top <= 30000000), n
+      WHERE rn <= target""",
+    "upsert_counts": with_ctes(VIDEOS_SQL + "," + DELTA_SQL) + """
+      SELECT count(*) FILTER (video_id NOT IN (SELECT doc_id FROM documents)) AS inserted,
+             count(*) FILTER (video_id IN (SELECT doc_id FROM documents)) AS updated FROM delta""",
+    "lookup_one": V + f"SELECT {_FLAT} FROM videos WHERE video_id = (SELECT max(doc_id) FROM documents)",
     "embedding_cache_misses": V + """
       SELECT video_id, md5(title) AS text_hash, title FROM videos
       WHERE video_id NOT IN (SELECT doc_id FROM labels WHERE toxic <> 1)""",

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.ml import PipelineModel
-from pyspark.ml.regression import LinearRegressionModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliplens.functions import numbers as N
-from cliplens.functions.title import TITLE_FEATURES, view_bucket
+from cliplens.functions.title import NUMERIC_FEATURES, view_bucket
 from cliplens.operators import authors, merge, models
+from cliplens.operators.joins import lookup_join
 from cliplens.plans.inputs import VIDEOS_SQL, table, videos, with_ctes
 from cliplens.session import materialize, scratch_path
 
@@ -29,77 +27,99 @@ def prepared(spark: SparkSession, sf: str, leaky: bool = False) -> tuple[DataFra
     defaults = authors.author_defaults(stats)
     made = models.with_tokens(models.model_features(rows, stats, defaults)).withColumns({
         "label": F.log1p("view_count"), "bucket": view_bucket(F.col("view_count"))})
-    return materialize(made, "features"), {"stats": stats, "defaults": defaults}
+    kept = ["video_id", "category", *NUMERIC_FEATURES, "tokens", "is_train", "label", "bucket"]
+    return materialize(made.select(*kept), "features", compression="zstd"), {
+        "stats": stats, "defaults": defaults}
 
 
-@functools.lru_cache(maxsize=4)
-def _featured(spark: SparkSession, sf: str):
-    """Data, side tables and fitted features; both models share them."""
+def trained(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, models.ModelStore]:
+    """Rows with features, and the store that a fresh training has written."""
     data, side = prepared(spark, sf)
-    features = models.fit_features(data.where("is_train"))
-    return data, side, features
-
-
-@functools.lru_cache(maxsize=8)
-def _trained(spark: SparkSession, sf: str, kind: str):
-    data, side, features = _featured(spark, sf)
-    ready = features.transform(data.where("is_train")).select("features", "label", "bucket").cache()
+    train = data.where("is_train")
+    features = models.fit_features(train)
+    ready = features.transform(train).select("features", "label", "bucket").cache()
     model = models.fit_ridge(ready) if kind == "view" else models.fit_bucket_classifier(ready)
     ready.unpersist()
-    return data, side, features, model
+    store = models.ModelStore(spark, scratch_path(spark, "models"))
+    store.save(features, {kind: model}, side["stats"], side["defaults"])
+    return data, store
 
 
-def requests(spark, sf, side) -> DataFrame:
+def requests(spark, sf) -> DataFrame:
     """One request per benchmark text, without author or time."""
-    asked = table(spark, sf, "benchmark").select(
+    return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("request_id"), F.col("text").alias("title"),
         F.lit("未知").alias("category"))
-    return models.model_features(asked, side["stats"], side["defaults"])
 
 
 def train_view_regressor(spark, sf):
-    data, _, features, model = _trained(spark, sf, "view")
-    test = model.transform(features.transform(data.where("not is_train")))
+    data, store = trained(spark, sf, "view")
+    test = store.model("view").transform(store.features().transform(data.where("not is_train")))
     return models.regression_metrics(test)
 
 
 def train_bucket_classifier(spark, sf):
-    data, _, features, model = _trained(spark, sf, "bucket")
-    test = model.transform(features.transform(data.where("not is_train")))
+    data, store = trained(spark, sf, "bucket")
+    test = store.model("bucket").transform(store.features().transform(data.where("not is_train")))
     return models.classification_metrics(test, "bucket", "prediction")
 
 
 def predict_view(spark, sf):
-    _, side, features, model = _trained(spark, sf, "view")
-    return models.predict_view(features, model, requests(spark, sf, side)).select(
+    _, store = trained(spark, sf, "view")
+    asked = store.request_features(requests(spark, sf))
+    return models.predict_view(store.features(), store.model("view"), asked).select(
         "request_id", "predicted_view", "bucket_id", "predicted_bucket", "explanations")
 
 
 def predict_bucket(spark, sf):
-    _, side, features, model = _trained(spark, sf, "bucket")
-    return models.predict_bucket(features, model, requests(spark, sf, side)).select(
+    _, store = trained(spark, sf, "bucket")
+    asked = store.request_features(requests(spark, sf))
+    return models.predict_bucket(store.features(), store.model("bucket"), asked).select(
         "request_id", "bucket_id", "predicted_bucket", "probabilities")
 
 
+def bucket_probability_sums(spark, sf):
+    """The probabilities of all buckets of each request add up to one."""
+    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda s, p: s + p)
+    return predict_bucket(spark, sf).select("request_id", N.rounded(total).alias("total"))
+
+
 def model_roundtrip(spark, sf):
-    """Predictions of a saved and reloaded model next to those of the original."""
-    data, _, features, model = _trained(spark, sf, "view")
-    path = scratch_path(spark, "model")
-    features.write().save(f"{path}/features")
-    model.write().save(f"{path}/ridge")
-    again = LinearRegressionModel.load(f"{path}/ridge")
-    loaded = PipelineModel.load(f"{path}/features").transform(data)
-    both = again.setPredictionCol("reloaded").transform(model.transform(loaded))
-    return both.select("video_id", "prediction", "reloaded")
+    """Rows scored by a reloaded model, and how far they are from those of the first load."""
+    data, store = trained(spark, sf, "view")
+    first = store.model("view").transform(store.features().transform(data))
+    again = models.ModelStore(spark, scratch_path(spark, "models"))
+    again.save(store.features(), {"view": store.model("view")},
+               spark.read.parquet(f"{store.path}/author_stats"),
+               spark.read.parquet(f"{store.path}/author_defaults"))
+    both = again.model("view").setPredictionCol("reloaded").transform(first)
+    return both.agg(F.count("reloaded").alias("n"), N.rounded(
+        F.max(F.abs(F.col("prediction") - F.col("reloaded")))).alias("max_difference"))
+
+
+def ridge_two_features(spark, sf):
+    """Ridge on two counters: slopes and intercept, which have a closed form."""
+    v = videos(spark, sf, "view_count", "like_count", "favorite_count").select(
+        F.log1p("view_count").alias("label"), F.log1p("like_count").alias("a"),
+        F.log1p("favorite_count").alias("b"))
+    ready = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(v)
+    model = models.fit_ridge(ready)
+    a, b = (float(x) for x in model.coefficients)
+    return v.agg(*[N.rounded(F.lit(x)).alias(name) for name, x in [
+        ("slope_a", a), ("slope_b", b), ("intercept", float(model.intercept))]])
+
+
+def importance_total(spark, sf):
+    """Importances are shares: five features whose scores add up to one."""
+    return feature_importance(spark, sf).agg(
+        F.count("*").alias("n_features"), N.rounded(F.sum("score")).alias("total"))
 
 
 def _author_mean(spark, sf):
     """A fixed prediction: the mean of the author."""
     v = videos(spark, sf, "video_id", "author_id", "view_count")
     means = v.groupBy("author_id").agg(F.avg("view_count").alias("mean"))
-    from cliplens.operators.joins import lookup_join
-
-    return lookup_join(v, means, ["author_id"], "inner", salt_by=["video_id"])
+    return lookup_join(v, materialize(means, "author-means"), ["author_id"], "inner", salt_by=["video_id"])
 
 
 def regression_metrics(spark, sf):
@@ -127,8 +147,9 @@ def feature_importance(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    train_view_regressor, train_bucket_classifier, predict_view, predict_bucket, model_roundtrip,
-    regression_metrics, classification_metrics, feature_importance,
+    train_view_regressor, train_bucket_classifier, predict_view, predict_bucket,
+    bucket_probability_sums, model_roundtrip, ridge_two_features, regression_metrics,
+    classification_metrics, feature_importance, importance_total,
 ]}
 
 
@@ -137,6 +158,19 @@ def _bucket(x: str) -> str:
 
 
 ORACLES = {
+    "bucket_probability_sums": "SELECT item_id AS request_id, 1.0::DOUBLE AS total FROM benchmark",
+    "model_roundtrip": "SELECT count(*) AS n, 0.0::DOUBLE AS max_difference FROM documents",
+    "importance_total": "SELECT CAST(5 AS BIGINT) AS n_features, 1.0::DOUBLE AS total",
+    "ridge_two_features": V + """,
+      v AS (SELECT ln(1.0::DOUBLE + view_count) AS y, ln(1.0::DOUBLE + like_count) AS a,
+                   ln(1.0::DOUBLE + favorite_count) AS b FROM videos),
+      s AS (SELECT var_pop(a) * count(*) + 1 AS aa, var_pop(b) * count(*) + 1 AS bb,
+                   covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay,
+                   covar_pop(b, y) * count(*) AS by_, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM v),
+      k AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ka,
+                   (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS kb FROM s)
+      SELECT round(ka, 6) AS slope_a, round(kb, 6) AS slope_b,
+             round(my - ka * ma - kb * mb, 6) AS intercept FROM k""",
     "regression_metrics": V + """
       SELECT round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2,
              round(sqrt(avg((y - p) * (y - p))), 6) AS rmse_log,

@@ -36,23 +36,24 @@ def stream_append(spark, sf):
     return spark.read.schema(stream.schema).options(**jobs.TIMESTAMPS).json(out)
 
 
-def _landed_videos(spark, sf):
-    """All videos first, then the changed and new ones, one file set per drop."""
-    path = scratch_path(spark, "videos")
-    first = videos(spark, sf, *FLAT).withColumn("version", F.lit(0).cast("bigint"))
-    first.write.parquet(path)
-    delta_videos(spark, sf).withColumn("version", F.lit(1).cast("bigint")).write.mode(
-        "append").parquet(path)
-    return jobs.read_stream(spark, path, first.schema, max_files=2)
-
-
 def stream_upsert(spark, sf):
-    """Changes arrive in several batches; the newest version of a row wins."""
-    store = jobs.VersionedTable(spark, "video_id", "upserts")
-    jobs.run_batches(_landed_videos(spark, sf),
-                     lambda batch, n: store.write_batch(batch, n, "version"),
-                     scratch_path(spark, "ck"))
-    return store.read().drop("version")
+    """Changes arrive in several batches and the newest version of a row wins.
+
+    The job is stopped and opened again between the drops, the table is
+    compacted once, and the last drop brings old versions late.
+    """
+    landed, table_path, checkpoint = (scratch_path(spark, n) for n in ("videos", "upserts", "ck"))
+    first = videos(spark, sf, *FLAT).withColumn("version", F.lit(0).cast("bigint"))
+    delta = delta_videos(spark, sf).withColumn("version", F.lit(2).cast("bigint"))
+    late = delta.withColumn("version", F.lit(1).cast("bigint")).withColumn("title", F.lit("old"))
+    for drop, rows in enumerate([first, delta, late]):
+        rows.write.mode("append").parquet(landed)
+        store = jobs.VersionedTable(spark, table_path, "video_id", "version")
+        jobs.run_batches(jobs.read_stream(spark, landed, first.schema, max_files=2),
+                         store.write_batch, checkpoint)
+        if drop == 1:
+            store.compact()
+    return jobs.VersionedTable(spark, table_path, "video_id", "version").read().drop("version")
 
 
 def stream_refresh(spark, sf):
@@ -60,7 +61,7 @@ def stream_refresh(spark, sf):
     path = scratch_path(spark, "videos")
     rows = videos(spark, sf, "video_id", "cluster_id", "view_count").where("cluster_id is not null")
     rows.write.parquet(path)
-    totals = jobs.RunningTotals(spark, "cluster_id", "view_count", "totals")
+    totals = jobs.RunningTotals(spark, scratch_path(spark, "totals"), "cluster_id", "view_count")
     jobs.run_batches(jobs.read_stream(spark, path, rows.schema, max_files=1), totals.write_batch,
                      scratch_path(spark, "ck"))
     t = totals.read()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,22 @@ def get_spark(app: str = "cliplens", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     for key, value in {**SESSION_DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local["):
+        ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, which run its functions in tasks.
+
+    Not needed where it is installed on all machines or given by --py-files.
+    """
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix="cliplens-ship-")) / package.name), "zip",
+        package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,9 +57,39 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+RUN_KEY = "spark.cliplens.run"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, never used before."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder of this run, below the shared folder, never used before."""
+    run = spark.conf.get(RUN_KEY, None)
+    if not run:
+        run = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+        spark.conf.set(RUN_KEY, run)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store it names."""
+    store, where = _file_system(spark, path)
+    return store.exists(where)
+
+
+def end_run(spark: SparkSession) -> None:
+    """Drop what this run has written to the shared folder; its results are unreadable then.
+
+    The next scratch path starts a new run.
+    """
+    run = spark.conf.get(RUN_KEY, None)
+    if run:
+        store, where = _file_system(spark, run)
+        store.delete(where, True)
+        spark.conf.unset(RUN_KEY)
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -7,7 +7,6 @@ from tests.conftest import SF
 from tests.oracle import compare
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SLOW = {"choose_k", "train_bucket_classifier", "predict_bucket", "feature_importance"}
 
 
 def test_every_sql_belongs_to_a_query():
@@ -20,7 +19,7 @@ def test_query_equals_sql(spark, duck, name):
     assert ok, message
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 

@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from cliplens import schema as S
+from cliplens import session
 from cliplens.functions import text as X
 from cliplens.functions import title as TT
 from cliplens.operators import advice, authors, clean, merge, reports, tfidf
 from cliplens.sources import files
+from cliplens.streaming import jobs
 
 
 def one(spark, value, expr, dtype="string"):
@@ -149,3 +151,89 @@ def test_last_tool(spark):
     df = spark.sql("select array(struct('a' as tool), struct('b' as tool)) as x "
                    "union all select array() as x")
     assert {r.t for r in df.select(advice.last_tool(F.col("x")).alias("t")).collect()} == {"b", None}
+
+
+def test_predictions_are_cut_not_rounded(spark):
+    shown = lambda x: one(spark, x, advice.whole, "double")
+    assert [shown(22025.6), shown(-1.9), shown(1234567.0)] == ["22,025", "-1", "1,234,567"]
+
+
+def title_advice(spark, **parts):
+    requests = spark.createDataFrame([(1, "短标题", "未知")], "request_id bigint, title string, category string")
+    return advice.title_advice(requests, **parts).first()
+
+
+def test_advice_with_all_parts(spark):
+    hits = spark.createDataFrame([(1, 2, "乙", 30_000), (1, 1, "甲", 129_999)],
+                                 "query_id bigint, rank bigint, title string, view_count bigint")
+    predictions = spark.createDataFrame([(1, 22025.6, [("标题长度", "负向", "x")])],
+                                        f"request_id bigint, predicted_view double, explanations {advice.RULES}")
+    replies = spark.createDataFrame([(1, '{"diagnosis": "d", "suggestions": ["a"]}')],
+                                    "request_id bigint, reply string")
+    r = title_advice(spark, hits=hits, predictions=predictions, replies=replies,
+                     importance=[("a", 0.5), ("b", 0.25), ("c", 0.2), ("d", 0.05)])
+    assert [s.title for s in r.similar_titles] == ["甲", "乙"]
+    assert r.advice_list == ["a"] and r.diagnosis == "d" and "2 个" in r.summary
+    assert "22,025" in r.prompt and "- 甲 (12万播放)" in r.prompt
+    assert "- a: 0.5000\n- b: 0.2500\n- c: 0.2000" in r.prompt and "- d:" not in r.prompt
+
+
+def test_advice_without_search(spark):
+    r = title_advice(spark)
+    assert r.similar_titles == [] and "0 个" in r.summary
+
+
+def test_advice_without_reply_falls_back_to_rules(spark):
+    r = title_advice(spark)
+    assert len(r.advice_list) == 2 and r.diagnosis == "智能体正在休息，仅提供基础建议。"
+
+
+def test_advice_without_prediction_uses_defaults(spark):
+    assert "预估播放量：0\n" in title_advice(spark).prompt
+
+
+def test_csv_begins_with_a_mark_and_reads_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "q", b\nc'), (2, ""), (3, None)], "id bigint, t string").coalesce(1)
+    files.write_csv(df, f"{tmp_path}/csv")
+    (part,) = (tmp_path / "csv").glob("part-*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfid,t")
+    assert sorted(map(tuple, files.read_csv(spark, f"{tmp_path}/csv", df.schema).collect())) == sorted(
+        map(tuple, df.collect()))
+
+
+def test_json_arrays_are_bounded_by_bytes(spark, tmp_path):
+    df = spark.range(300).selectExpr("id", "repeat('x', 1000) AS t")
+    files.write_json_array(df, f"{tmp_path}/json", "id", file_bytes=30_000)
+    parts = list((tmp_path / "json").glob("part-*"))
+    assert len(parts) > 6 and max(p.stat().st_size for p in parts) < 90_000
+    assert files.read_json_array(spark, f"{tmp_path}/json", df.schema).count() == 300
+
+
+def test_upsert_table_survives_a_restart(spark, tmp_path):
+    def rows(*values):
+        return spark.createDataFrame(list(values), "k bigint, version bigint, v string")
+
+    def table():
+        return jobs.VersionedTable(spark, f"{tmp_path}/t", "k", "version")
+
+    table().write_batch(rows((1, 1, "a"), (2, 1, "b"), (1, 0, "older")), 0)
+    table().write_batch(rows((2, 3, None), (3, 1, "c")), 1)
+    table().compact()
+    table().write_batch(rows((2, 2, "late"), (3, 1, "again"), (4, 1, "d")), 2)
+    want = [(1, 1, "a"), (2, 3, None), (3, 1, "again"), (4, 1, "d")]
+    assert sorted(map(tuple, table().read().collect())) == want
+    table().write_batch(rows((2, 2, "late"), (3, 1, "again"), (4, 1, "d")), 2)  # a repeated batch
+    table().compact()
+    assert sorted(map(tuple, table().read().collect())) == want
+
+
+def test_run_folder_goes_at_the_end(spark):
+    saved = session.materialize(spark.range(3), "gone")
+    path = saved.inputFiles()[0]
+    run = spark.conf.get(session.RUN_KEY)
+    spark.conf.set(session.RUN_KEY, f"{session.shared_dir(spark)}/run-of-this-test")
+    own = session.scratch_path(spark, "x")
+    spark.range(1).write.parquet(own)
+    session.end_run(spark)
+    assert not session.path_exists(spark, own) and session.path_exists(spark, path)
+    spark.conf.set(session.RUN_KEY, run)

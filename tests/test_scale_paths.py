@@ -25,7 +25,8 @@ def cloud():
 def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)
     monkeypatch.setattr(vectors, "BLOCK_BYTES", 16 * 4 * 8)
-    monkeypatch.setattr(blocks.Cells.__init__, "__defaults__", (8,))
+    monkeypatch.setattr(blocks, "pivot_count", lambda n: 8)
+    monkeypatch.setattr(blocks, "QUERY_SPLIT", 2)
 
 
 def frame(spark, x, name="id"):
@@ -44,6 +45,12 @@ def test_knn_both_paths(spark, cloud, small_blocks, max_bytes):
     assert {(r.query_id, r.id) for r in got.collect()} == brute_knn(cloud, 5)
 
 
+def test_approximate_knn_reaches_its_recall(spark, cloud, small_blocks):
+    found, cells = blocks.knn_approx(frame(spark, cloud, "query_id"), frame(spark, cloud), 5)
+    want = brute_knn(cloud, 5)
+    assert len(want & {(r.query_id, r.id) for r in found.collect()}) >= 0.85 * len(want) and cells < 8
+
+
 def brute_dbscan(x, eps, min_samples):
     near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
     core = near.sum(1) >= min_samples
@@ -249,10 +256,3 @@ def test_model_hook(spark):
     df = spark.createDataFrame([("banana",), (None,)], "t string")
     got = [r.embedding for r in vectors.embed_with_model(df, "t", make, 2).collect()]
     assert got == [[6.0, 3.0], [0.0, 0.0]]
-
-
-def test_probabilities_sum_to_one(spark):
-    from cliplens.plans import models as plans
-
-    for r in plans.predict_bucket(spark, SF).collect():
-        assert abs(sum(r.probabilities.values()) - 1) < 1e-9
