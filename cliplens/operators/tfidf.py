@@ -8,18 +8,18 @@ shuffled are counts per term, added up before the shuffle.
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cliplens.operators.joins import MAX_BROADCAST_BYTES, lookup_join
-from cliplens.session import materialize
+from cliplens.session import materialize, spread
 
 RETRIEVAL_TERMS = 10_000
 MODEL_TERMS = 1_000
@@ -30,27 +30,44 @@ TERMS = "array<struct<term:string,tf:bigint>>"
 
 
 def _in_rows(df: DataFrame, column: str, out: str, kind: str, change) -> DataFrame:
-    """``df`` with ``column`` replaced by ``out``: ``change`` maps the values of a batch."""
+    """``df`` with the list column ``column`` replaced by ``out``: ``change`` maps a batch of it."""
     kept = [f for f in df.schema.fields if f.name != column]
     schema = T.StructType([*kept, *T.StructType.fromDDL(f"{out} {kind}").fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array(change(batch.column(column).to_pylist()), arrow.field(out).type)
+            made = change(batch.column(column)).cast(arrow.field(out).type)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), made], schema=arrow)
 
     return df.select(*[f.name for f in kept], column).mapInArrow(run, schema)
 
 
-def _count_terms(rows: list) -> list:
-    return [[{"term": t, "tf": n} for t, n in Counter(tokens or ()).items()] for tokens in rows]
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The items of all lists end to end, and the row of each; a NULL list has none."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.repeat(np.arange(len(lists)), lengths)
+
+
+def _listed(rows: np.ndarray, n: int, **fields) -> pa.Array:
+    """Lists of structs for ``n`` rows from items that are in order of their row."""
+    offsets = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
+    items = pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(offsets), items)
+
+
+def _count_terms(tokens: pa.Array) -> pa.Array:
+    flat, row = _flat(tokens)
+    coded = flat.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    keys, n = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return _listed(keys // size, len(tokens), term=coded.dictionary.take(pa.array(keys % size)), tf=n)
 
 
 def counted(docs: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
     """(keys, terms): one row per document with its distinct terms and their counts, written once."""
-    rows = _in_rows(docs.select(*keys, tokens.alias("tokens")), "tokens", "terms", TERMS, _count_terms)
-    return materialize(rows, "terms", compression="zstd")
+    rows = spread(docs).select(*keys, tokens.alias("tokens"))
+    return materialize(_in_rows(rows, "tokens", "terms", TERMS, _count_terms), "terms", compression="zstd")
 
 
 def vocabulary(rows: DataFrame, max_terms: int) -> DataFrame:
@@ -73,13 +90,17 @@ def document_weights(rows: DataFrame, doc: str, idf: dict[str, float]) -> DataFr
     """(doc, weights): unit length per document, over the vocabulary only."""
     shared = rows.sparkSession.sparkContext.broadcast(idf)
 
-    def weigh(batch: list) -> list:
-        known, out = shared.value, []
-        for row in batch:
-            raw = [(t["term"], t["tf"] * known[t["term"]]) for t in row if t["term"] in known]
-            length = math.sqrt(sum(w * w for _, w in raw))
-            out.append([{"term": t, "weight": w / length} for t, w in raw])
-        return out
+    def weigh(terms: pa.Array) -> pa.Array:
+        known = shared.value
+        flat, row = _flat(terms)
+        coded = flat.field("term").dictionary_encode()
+        idf_of_code = np.array([known.get(t, 0.0) for t in coded.dictionary.to_pylist()])
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        w = flat.field("tf").to_numpy() * idf_of_code[codes] if len(codes) else np.empty(0)
+        use = w > 0
+        row, codes, w = row[use], codes[use], w[use]
+        length = np.sqrt(np.bincount(row, w * w, len(terms)))
+        return _listed(row, len(terms), term=coded.dictionary.take(pa.array(codes)), weight=w / length[row])
 
     return _in_rows(rows.select(doc, "terms"), "terms", "weights", WEIGHTS, weigh)
 
@@ -153,19 +174,19 @@ def topic_keywords(docs: DataFrame, words: Column, tokens: Column, top_k: int =
 
 def vectors_of_terms(rows: DataFrame, doc: str, dim: int = 64) -> DataFrame:
     """(doc, embedding) from counted terms: signed hashing to ``dim`` slots, unit length."""
-    def embed(batch: list) -> list:
-        places: dict[str, tuple[int, int]] = {}
-        out = []
-        for row in batch:
-            slots = [0] * dim
-            for t in row:
-                if (place := places.get(t["term"])) is None:
-                    code = int(hashlib.md5(t["term"].encode()).hexdigest()[:8], 16)
-                    place = places[t["term"]] = (code % dim, 1 if code // dim % 2 == 0 else -1)
-                slots[place[0]] += place[1] * t["tf"]
-            length = math.sqrt(sum(v * v for v in slots))
-            out.append([v / length if length else 0.0 for v in slots])
-        return out
+    def embed(terms: pa.Array) -> pa.Array:
+        flat, row = _flat(terms)
+        coded = flat.field("term").dictionary_encode()
+        hashes = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+                           for t in coded.dictionary.to_pylist()], np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        mine = hashes[codes] if len(codes) else np.empty(0, np.int64)
+        signed = np.where(mine // dim % 2 == 0, 1, -1) * flat.field("tf").to_numpy()
+        slots = np.bincount(row * dim + mine % dim, signed, len(terms) * dim).reshape(-1, dim)
+        length = np.sqrt((slots * slots).sum(1, keepdims=True))
+        unit = np.divide(slots, length, out=np.zeros_like(slots), where=length > 0)
+        return pa.ListArray.from_arrays(
+            pa.array(np.arange(len(terms) + 1, dtype=np.int32) * dim), pa.array(unit.ravel()))
 
     return _in_rows(rows.select(doc, "terms"), "terms", "embedding", "array<double>", embed)
 

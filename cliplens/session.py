@@ -57,6 +57,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its source has fewer partitions than there are, else as it is.
+
+    A table that is one small file would keep one core busy; moving it is cheap.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 RUN_KEY = "spark.cliplens.run"
 
 
