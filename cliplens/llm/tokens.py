@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplens.llm import charclass, packed
+from cliplens.session import materialize
 
-TABLE_SIZE = 1 << 16
+TABLE_SHARES = 1 << 18
 TASK_SIZE = 1 << 15
 MAX_PIECE = 64
 CACHE_SIZE = 400_000
@@ -149,13 +150,16 @@ def _count_udf(shared, spec):
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
-                 out: str = "n_tokens", table_size: int = TABLE_SIZE) -> DataFrame:
+                 out: str = "n_tokens", table_shares: int = TABLE_SHARES) -> DataFrame:
     """``docs`` with the number of tokens of each whole text.
 
     The tokenizer is a byte-level BPE file. Counts are those of encoding without
     added special tokens, truncation or padding; special strings inside a text
     are one token each, as the tokenizer has them by default.
 
+    The table takes the pre-tokens that make up at least one of ``table_shares``
+    parts of all those gathered, so it cannot have more entries than that.
+
     NULL counts as the empty text and has no tokens. Very long texts are
     counted whole. Repeated rows are counted alike, an empty table stays empty,
     and an existing column named ``out`` is replaced. Pre-tokens are told apart
@@ -171,8 +175,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     shared = context.broadcast((charclass.class_table(tokenizer.pre_tokenizer), specials))
     pieces = docs.select(F.col(text_col).alias("text")).mapInArrow(
         _frequent_udf(shared), "piece string, n bigint")
-    top = [r["piece"] for r in pieces.groupBy("piece").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "piece").limit(table_size).collect()]
+    sums = materialize(pieces.groupBy("piece").agg(F.sum("n").alias("n")), "pre-tokens")
+    total = sums.agg(F.sum("n").alias("n")).first()["n"] or 0
+    top = [r["piece"] for r in sums.where(F.col("n") * table_shares >= total).select("piece").collect()]
     data, offsets = charclass.code_points(top)
     lookup = LengthTable(packed.run_hashes(data, offsets[:-1], offsets[1:]),
                          np.array(Tokens(spec).encode(top), np.int64))

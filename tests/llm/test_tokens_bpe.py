@@ -26,7 +26,7 @@ def test_counts_equal_the_library(spark, edge_docs, edge_rows, no_docs):
     library = Tokenizer.from_file(BYTES)
     rows = list(enumerate(texts()))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs, BYTES, table_size=50).collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs, BYTES, table_shares=50).collect()}
     assert got == {i: len(library.encode(t, add_special_tokens=False)) for i, t in rows}
     edge = count_tokens(edge_docs, BYTES, out="shard").collect()
     assert sorted(r["shard"] for r in edge) == sorted(len(library.encode(t or "")) for _, t in edge_rows)
