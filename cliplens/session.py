@@ -57,13 +57,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+SMALL_SHARE = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its source has fewer partitions than there are, else as it is.
+    """``df`` over all cores if it comes from fewer and small files, else as it is.
 
-    A table that is one small file would keep one core busy; moving it is cheap.
+    A table that is one small file would keep one core busy, and moving it is
+    cheap. Nothing is run to find out.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores, names = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not 0 < len(names) < cores:
+        return df
+    total = 0
+    for name in names:
+        store, where = _file_system(spark, name, encoded=True)
+        total += store.getFileStatus(where).getLen()
+    return df.repartition(cores) if total < cores * SMALL_SHARE else df
 
 
 RUN_KEY = "spark.cliplens.run"
@@ -78,8 +89,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
-def _file_system(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+def _file_system(spark: SparkSession, path: str, encoded: bool = False):
+    where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path) if encoded else path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
