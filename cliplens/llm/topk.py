@@ -25,6 +25,7 @@ BLOCK_BYTES = 32 << 20
 PROBE_ROWS = 4096
 SHARD_ROWS = 4096
 QUERY_ROWS = 128
+PROBE_TERMS = 4
 _NONE = np.iinfo(np.int64).min
 
 
@@ -83,15 +84,20 @@ def search_shard(block: Block, ids: np.ndarray, shard: np.ndarray, floors: np.nd
         # Essential terms: without them no candidate reaches a floor.
         essential = int(np.argmin((rest > floor[:, None]).any(0))) if (
             ~(rest > floor[:, None]).any(0)).any() else len(order)
-        essential = max(essential, len(order) * 3 // 4)
+        # Vectors with values in every component have few terms to spare; an eighth of
+        # them, the weakest, is probed step by step for the candidates left.
+        essential = min(essential, len(order) * 7 // 8)
         first, others = order[:essential], order[essential:]
         partial = q[:, first] @ c[:, first].T
         open_q, open_c = np.nonzero(partial + rest[:, essential][:, None] >= floor[:, None])
         if not len(open_q):
             continue
         scores = partial[open_q, open_c].astype(np.int64)
-        if len(others):
-            scores += (q[open_q][:, others] * c[open_c][:, others]).sum(1).astype(np.int64)
+        for step in range(0, len(others), PROBE_TERMS):  # probe while competitive
+            terms = others[step:step + PROBE_TERMS]
+            scores += (q[open_q[:, None], terms] * c[open_c[:, None], terms]).sum(1).astype(np.int64)
+            live = scores + rest[open_q, min(essential + step + PROBE_TERMS, len(order))] >= floor[open_q]
+            open_q, open_c, scores = open_q[live], open_c[live], scores[live]
         keep = (scores >= floor[open_q]) & (block.ids[rows][open_q] != ids[open_c])
         open_q, open_c, scores = open_q[keep], open_c[keep], scores[keep]
         ends = np.searchsorted(open_q, np.arange(len(rows) + 1))
