@@ -361,7 +361,8 @@ def row_count(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     src_json_array, src_json_lines, scan_videos, scan_videos_projected, csv_roundtrip,
-    flatten_api_pages, flatten_api_pages_capped, upsert_counts, lookup_one, embedding_cache_misses, vector_table, vector_table_count, full_refresh,
+    flatten_api_pages, flatten_api_pages_capped, upsert_counts, lookup_one,
+    embedding_cache_misses, vector_table, vector_table_count, full_refresh,
     upsert_videos, insert_new_only, incremental_new_items, eval_log_summary, task_latest_status,
     task_status_resolve, validate_items, dedup_first, clean_videos, drop_null_target,
     lookup_by_id, distinct_categories, min_rows_guard, sample_n, train_test_split,
