@@ -16,10 +16,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplens.llm import packed
+from cliplens.llm.similar import keep_one, text_digest  # noqa: F401 (keep_one is part of this module)
 from cliplens.operators.components import connected_components
 from cliplens.operators.joins import weighted_join
 from cliplens.session import materialize
@@ -178,10 +179,6 @@ def _printed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "fingerprints")
 
 
-def text_digest(text_col: str):
-    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     distance: int = MAX_DISTANCE) -> DataFrame:
     """(id, fingerprint, component_id) of each row: the smallest id that links reach.
@@ -200,24 +197,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fingerprint", "n", F.col("least.id").alias("component_id"))
     return weighted_join(prints.drop("__digest"), named, "fingerprint", "n", "inner",
                          ["__id"]).select(F.col("__id").alias(id_col), "fingerprint", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             distance: int = MAX_DISTANCE) -> DataFrame:
-    """One document of each near-duplicate group, with the columns of ``docs``.
-
-    It is the one of the smallest id; of several rows with that id, one of the
-    text with the smallest hash. A group without any id keeps one row alike. An
-    empty table stays empty.
-    """
-    chosen = _groups(_printed(docs, id_col, text_col), distance).select("least").distinct().select(
-        F.col("least.none").alias("__none"), F.coalesce("least.id", F.lit(0)).alias("__id"),
-        F.col("least.digest").alias("__digest"))
-    keys = ["__none", "__id", "__digest"]
-    keyed = docs.withColumns({
-        "__none": F.col(id_col).isNull(), "__id": F.coalesce(id_col, F.lit(0)),
-        "__digest": text_digest(text_col)})
-    # Both the join and the window are by the same keys: one shuffle.
-    alike = Window.partitionBy(*keys).orderBy(F.lit(0))
-    return keyed.join(chosen, keys, "left_semi").withColumn(
-        "__copy", F.row_number().over(alike)).where("__copy = 1").select(*docs.columns)
