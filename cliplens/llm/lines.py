@@ -1,13 +1,16 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk
-ends, so the same passage is cut alike wherever it stands. Chunks of several
-lines that occur more than once in the corpus are removed but for their first
-occurrence, after their bytes have been compared.
+A rolling window over the hashes of neighbouring lines makes every two
+neighbouring lines with text one chunk, and every line of over 50 words one by
+itself. A chunk depends on its own lines only, so a passage is found alike
+wherever it stands and whatever stands around it, to its last line. Chunks that
+occur more than once in the corpus are removed but for their first occurrence.
+Chunks that overlap and have their first occurrences side by side in one
+document are one run, whose bytes are compared as a whole.
 
 Only hashes and positions are grouped; a chunk that very many documents share
 is counted before it is shuffled and looked up by broadcast. The texts move
-once, to meet their documents' chunks.
+once, to meet their documents' runs.
 """
 
 from __future__ import annotations
@@ -23,9 +26,7 @@ from cliplens.llm import packed
 from cliplens.operators.joins import weighted_join
 from cliplens.session import materialize
 
-WINDOW_LINES = 2
-MEAN_LINES = 3
-MIN_LINES = 2
+ALONE_WORDS = 50  # a line of more words is a chunk by itself
 MAX_BYTES = 32 << 10
 _CHUNK = "array<struct<start:int,end:int,key:binary>>"
 _CHUNK_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("key", pa.binary())]))
@@ -42,56 +43,42 @@ def line_bounds(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, first
 
 
-def cut_points(hashes: np.ndarray, window: int = WINDOW_LINES, mean: int = MEAN_LINES) -> np.ndarray:
-    """Lines after which a chunk may end: the rolling hash of the last lines decides."""
-    rolled = hashes.copy()
-    for back in range(1, window):
-        rolled[back:] = rolled[back:] * np.uint64(0x9E3779B97F4A7C15) + hashes[:-back]
-    return packed.mix(rolled) % np.uint64(mean) == 0
+def line_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words of each line, split at ASCII white space."""
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    filled = starts[starts < ends]
+    begins[filled] = inside[filled]
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(begins, out=before[1:])
+    return before[ends] - before[starts]
 
 
-def _chunks_of(cut: list[bool], sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """(first line, lines) of the chunks of several lines of one text.
+def text_chunks(texts: pa.Array) -> Iterator[list[dict]]:
+    """The chunks of each text: byte bounds and a 128-bit hash.
 
-    A chunk has at least ``MIN_LINES`` lines unless a bound forces it to end,
-    and at most ``MAX_BYTES`` bytes; a longer line stands alone.
+    They are every two neighbours among the lines that are not white space,
+    with the blank lines between them, up to ``MAX_BYTES`` bytes, and every line
+    of more than ``ALONE_WORDS`` words, of any length.
     """
-    first = held = 0
-    for i, size in enumerate(sizes):
-        if i > first and held + size > MAX_BYTES:
-            if i - first >= MIN_LINES:
-                yield first, i - first
-            first, held = i, 0
-        held += size + 1
-        if cut[i] and i + 1 - first >= MIN_LINES:
-            yield first, i + 1 - first
-            first, held = i + 1, 0
-    if len(sizes) - first >= MIN_LINES:
-        yield first, len(sizes) - first
-
-
-def text_chunks(texts: pa.Array) -> Iterator[list[dict]]:
-    """The chunks of several lines of each text: byte bounds and a 128-bit hash."""
     from xxhash import xxh3_128_digest
 
     data, offsets = packed.text_bytes(texts)
     for lo, hi in packed.chunks(offsets):
         part, at = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
         starts, ends, first = line_bounds(part, at)
-        hashes = packed.run_hashes(part, starts, ends)
+        words = line_words(part, starts, ends)
         for i in range(hi - lo):
-            a, b = first[i], first[i + 1]
-            mine = []
-            if b - a >= MIN_LINES:
-                cut = cut_points(hashes[a:b])
-                sizes = ends[a:b] - starts[a:b]
-                for line, n in _chunks_of(cut.tolist(), sizes.tolist()):
-                    s, e = int(starts[a + line]), int(ends[a + line + n - 1])
-                    whole = part[s:e].tobytes()
-                    if whole.strip():
-                        mine.append({"start": s - int(at[i]), "end": e - int(at[i]),
-                                     "key": xxh3_128_digest(whole)})
-            yield mine
+            a, b, begin = first[i], first[i + 1], int(at[i])
+            lines = a + np.flatnonzero(words[a:b])
+            s, e = starts[lines], ends[lines]
+            long = np.flatnonzero(words[lines] > ALONE_WORDS)
+            pairs = np.flatnonzero(e[1:] - s[:-1] <= MAX_BYTES)
+            bounds = [*zip(s[:-1][pairs].tolist(), e[1:][pairs].tolist()),
+                      *zip(s[long].tolist(), e[long].tolist())]
+            yield [{"start": x - begin, "end": y - begin, "key": xxh3_128_digest(part[x:y])}
+                   for x, y in bounds]
 
 
 def _chunk_udf():
@@ -102,6 +89,27 @@ def _chunk_udf():
     return F.arrow_udf(chunk, _CHUNK).asNondeterministic()
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The unions of spans that overlap, in order."""
+    out = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
+def _runs_udf():
+    def runs(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in parts:
+            yield pa.array([[{"start": a, "end": b} for a, b in merged(
+                [(c["start"], c["end"]) for c in row])] for row in rows.to_pylist()],
+                pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return F.arrow_udf(runs, "array<struct<start:int,end:int>>").asNondeterministic()
+
+
 def _cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """Without whole lines: the line feed after a span goes too, or the one before the last."""
     kept, at = [], 0
@@ -123,7 +131,7 @@ def _remove_udf():
                     rows.append({"text": None, "n_lines": 0, "n_removed": 0, "removed": []})
                     continue
                 whole = text.encode()
-                out = sorted((s["start"], s["end"]) for s in spans or ())
+                out = merged([(s["start"], s["end"]) for s in spans or ()])
                 rows.append({
                     "text": _cut_out(whole, out).decode() if out else text,
                     "n_lines": whole.count(b"\n") + 1,
@@ -140,15 +148,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out: str = "line_dedup") -> DataFrame:
     """``docs`` with a struct ``out``: the text left, its lines, the lines removed and where.
 
-    A chunk of at least two lines that stands in the corpus more than once is
-    kept where it stands first, in order of id (NULL first), then of a hash of
-    the text, then of its place, and removed with its line feeds elsewhere. Byte
-    bounds of what was removed are in ``removed``. Chunks of white space only
-    are never removed.
+    A run of at least two lines with text, or a line of more than 50 words,
+    that stands in the corpus more than once is kept where it stands first, in
+    order of id (NULL first), then of a hash of the text, then of its place, and
+    removed with its line feeds elsewhere, so every line stays somewhere. Byte
+    bounds of what was removed are in ``removed``. White space alone is never
+    removed. Two lines of over 32 KiB together, none of over 50 words, are no run.
 
     NULL stays NULL and has no lines; the empty text has one empty line. Rows of
-    equal id and text are one document and keep alike. Chunks whose 128-bit hash
-    is equal but whose bytes are not are told apart by the comparison and
+    equal id and text are one document and keep alike. Runs whose 128-bit hashes
+    are equal but whose bytes are not are told apart by the comparison and
     stay. An empty table stays empty. An existing column named ``out`` is replaced.
     """
     keys = {"__doc": F.col(id_col), "__digest": F.xxhash64(F.col(text_col).isNull(), F.col(text_col))}
@@ -162,10 +171,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.min(F.struct("__doc", "__digest", "start")).alias("first")).where("n > 1"), "repeated")
     met = weighted_join(found, repeated, "key", "n", "inner", ["__doc", "__digest", "start"])
     here = F.struct("__doc", "__digest", "start")
+    delta = F.col("start") - F.col("first.start")
+    runs = met.where(~here.eqNullSafe(F.col("first"))).groupBy(
+        "__doc", "__digest", F.col("first.__doc").alias("_from"),
+        F.col("first.__digest").alias("_from_digest"), delta.alias("_delta")).agg(
+        F.collect_set(F.struct("start", "end")).alias("_hits"))
+    runs = runs.withColumn("r", F.explode(_runs_udf()("_hits"))).select(
+        "__doc", "__digest", "_from", "_from_digest", (F.col("r.start") - F.col("_delta")).alias("_at"),
+        "r.start", "r.end")
+    runs = materialize(runs.withColumn("key", F.concat_ws(
+        "|", F.col("_from").isNull(), F.coalesce(F.col("_from").cast("string"), F.lit("")),
+        "_from_digest", "_at", F.col("end") - F.col("start"))), "runs")
+    heads = materialize(runs.groupBy("key").agg(F.count("*").alias("n"), F.first(F.struct(
+        "_from", "_from_digest", "_at", (F.col("_at") + F.col("end") - F.col("start")).alias("end"))
+    ).alias("f")), "first-runs")
+    each = runs.select("__doc", "__digest", "start", "end", "key", F.lit(False).alias("first")).union(
+        heads.select("f._from", "f._from_digest", "f._at", "f.end", "key", F.lit(True)))
     of_doc = materialize(
-        met.select("__doc", "__digest", F.struct(
-            "start", "end", "key", here.eqNullSafe(F.col("first")).alias("first")).alias("c"))
-        .groupBy("__doc", "__digest").agg(F.collect_set("c").alias("__chunks")), "document-chunks")
+        each.select("__doc", "__digest", F.struct("start", "end", "key", "first").alias("c"))
+        .groupBy("__doc", "__digest").agg(F.collect_set("c").alias("__chunks")), "document-runs")
     keyed = docs.withColumns(keys)
     same = (F.coalesce(keyed["__doc"].cast("string"), F.lit("")) == F.coalesce(
         of_doc["__doc"].cast("string"), F.lit(""))) & (keyed["__digest"] == of_doc["__digest"]) & (
@@ -174,39 +198,40 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed.join(of_doc, same, "left").select(
             *docs.columns, keyed["__doc"], keyed["__digest"], "__chunks"),
         "documents-with-chunks", compression="zstd")
-    wrong = _different(joined, repeated.select("key", "n"), text_col)
+    wrong = _different(joined, heads.select("key", "n"), text_col)
     chunks = F.filter("__chunks", lambda c: ~c["first"])
     if wrong is not None:
         joined = joined.join(wrong, joined["__doc"].eqNullSafe(wrong["_w_doc"]) & (
             joined["__digest"] == wrong["_w_digest"]), "left")
         chunks = F.filter("__chunks", lambda c: ~c["first"] & ~F.array_contains(
-            F.coalesce("_w_starts", F.array().cast("array<int>")), c["start"]))
+            F.coalesce("_w_spans", F.array().cast("array<struct<start:int,end:int>>")),
+            F.struct(c["start"].alias("start"), c["end"].alias("end"))))
     spans = F.coalesce(chunks, F.filter(F.lit(None).cast(
-        "array<struct<start:int,end:int,key:binary,first:boolean>>"), lambda c: F.lit(True)))
+        "array<struct<start:int,end:int,key:string,first:boolean>>"), lambda c: F.lit(True)))
     columns = [c for c in docs.columns if c.lower() != out.lower()]
     return joined.select(*columns, _remove_udf()(F.col(text_col), spans).alias(out))
 
 
 def _different(joined: DataFrame, sizes: DataFrame, text_col: str) -> DataFrame | None:
-    """Chunks whose bytes differ from the first of equal hash; None if there are none."""
+    """Runs whose bytes differ from the first of equal hashes; None if there are none."""
     each = joined.where("__chunks IS NOT NULL").select(
         "__doc", "__digest", F.col(text_col).cast("binary").alias("_bytes"),
         F.explode("__chunks").alias("c")).select(
-        "__doc", "__digest", F.col("c.start").alias("start"), F.col("c.key").alias("key"),
-        F.col("c.first").alias("first"),
+        "__doc", "__digest", F.col("c.start").alias("start"), F.col("c.end").alias("end"),
+        F.col("c.key").alias("key"), F.col("c.first").alias("first"),
         F.substring("_bytes", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("bytes"))
     heads = each.where("first").groupBy("key").agg(F.first("bytes").alias("head")).join(sizes, "key")
     compared = weighted_join(
-        each.where("NOT first"), materialize(heads, "first-chunks"), "key", "n", "inner",
+        each.where("NOT first"), materialize(heads, "first-bytes"), "key", "n", "inner",
         ["__doc", "__digest", "start"])
     wrong = materialize(
         compared.where("bytes <> head").groupBy(F.col("__doc").alias("_w_doc"), F.col("__digest").alias(
-            "_w_digest")).agg(F.collect_set("start").alias("_w_starts")), "different-chunks")
+            "_w_digest")).agg(F.collect_set(F.struct("start", "end")).alias("_w_spans")), "different-runs")
     return wrong if wrong.limit(1).count() else None
 
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks cut from the texts.
+    """``docs`` with repeated runs of lines cut from the texts.
 
     A document of which nothing but white space is left goes; one that had
     nothing else before stays as it is.
