@@ -3,7 +3,7 @@
 Character n-grams of letters and word borders are hashed to a fixed number of
 features. Document frequencies come from all learning documents; the weights
 are fitted by follow-the-regularised-leader with L1 and L2 penalties on a
-sample of at most ``sample_rows`` of them, spread evenly over the languages;
+sample of at most ``sample_rows`` distinct ones, as many for each language;
 the temperature of the scores is fitted on a part of the sample that the
 weights have not seen. Every document is judged by its whole text.
 """
@@ -14,16 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplens.llm import charclass
+from cliplens.session import materialize
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
 UNDECIDED = "und"
 SAMPLE_ROWS = 3000
-HOLD_BACK = 5  # every fifth sampled row calibrates
+HOLD_BACK = 5  # every fifth sampled row of a language calibrates
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -166,21 +167,41 @@ def _frequency_udf(shared):
 def _sample_udf(shared):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(text_features(batch.column(1).to_pylist(), shared.value))
+            rows = list(text_features(batch.column(2).to_pylist(), shared.value))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
+                [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
                  pa.array([r[1] for r in rows], pa.list_(pa.int32()))],
-                names=["lang", "found", "counts"])
+                names=["lang", "draw", "found", "counts"])
 
     return features
 
 
+def sample(learn: DataFrame, rows: int) -> DataFrame:
+    """(lang, draw, text): the same number of texts for each language, as far as it has them.
+
+    Equal rows are one before anything is drawn, and texts without a letter take
+    no part. Within each language the ``rows`` / languages smallest draws, hashes
+    of the row, are taken, one at least.
+    """
+    draw = F.shiftrightunsigned(F.xxhash64("text", "lang"), 1)
+    able = learn.where(F.col("text").rlike(r"\p{L}")).select("lang", draw.alias("draw"), "text")
+    drawn = materialize(able.groupBy("lang", "draw").agg(F.count("*").alias("copies")), "language-draws")
+    sizes = drawn.groupBy("lang").agg(F.count("*").alias("n"))
+    quota = max(1, rows // max(1, sizes.count()))
+    # Twice the quota and more lies below the bound, so the window sees few rows.
+    picked = drawn.join(F.broadcast(sizes), "lang").where(
+        F.col("draw") < F.lit(2.0 ** 63 * (2 * quota + 100)) / F.col("n")).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(
+        F.col("rank") <= quota).select("lang", "draw")
+    return able.join(F.broadcast(picked), ["lang", "draw"]).dropDuplicates(["lang", "draw"])
+
+
 def train(learn: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """A model from (lang, text) rows without NULL.
 
     Statistics are taken from all rows. The weights see a sample of at most
-    ``sample_rows``, which is chosen by a hash of the row, the same number for
-    each language as far as it has rows; only that sample's features and one
+    ``sample_rows``, the same number of distinct rows for each language as far as
+    it has them (see ``sample``; one each if there are more languages); only that sample's features and one
     count per feature reach the driver. Rows without letters teach nothing.
     """
     table = letter_table()
@@ -192,22 +213,18 @@ def train(learn: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     counts = np.zeros(FEATURES)
     counts[list(df)] = list(df.values())
     idf = np.log((1.0 + documents) / (1.0 + counts)) + 1.0
-    sizes = learn.groupBy("lang").agg(F.count("*").alias("n"))
-    languages = max(1, sizes.count())
-    draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 40))
-    sampled = (
-        learn.join(F.broadcast(sizes), "lang")  # one row per language
-        .where(draw < F.lit(float(1 << 40) * 1.2 * sample_rows / languages) / F.col("n"))
-        .orderBy(draw, "lang").limit(sample_rows).select("lang", "text")
-        .mapInArrow(_sample_udf(shared), "lang string, found array<int>, counts array<int>")
-        .where(F.size("found") > 0).toArrow())
+    sampled = sample(learn, sample_rows).select("lang", "draw", "text").mapInArrow(
+        _sample_udf(shared), "lang string, draw bigint, found array<int>, counts array<int>").where(
+        F.size("found") > 0).toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])
     langs = sampled.column("lang").to_pylist()
     names = sorted(set(langs))
     labels = np.array([names.index(v) for v in langs], np.int64)
     rows = [(np.array(f.values.to_numpy(), np.int64), np.array(c.values.to_numpy(), np.float64))
             for f, c in zip(sampled.column("found"), sampled.column("counts"))]
     rows = [(f, weigh(f, c, idf)) for f, c in rows]
-    late = np.arange(len(rows)) % HOLD_BACK == HOLD_BACK - 1
+    late = np.zeros(len(rows), bool)
+    for label in range(len(names)):
+        late[np.flatnonzero(labels == label)[HOLD_BACK - 1::HOLD_BACK]] = True
     weights = train_ftrl([r for r, x in zip(rows, late) if not x], labels[~late], len(names))
     logits = np.array([x @ weights[f] + weights[-1] for (f, x), l in zip(rows, late) if l])
     return LanguageModel(names, idf, weights, fit_temperature(logits, labels[late]), table)
