@@ -4,8 +4,8 @@ Hosts are the nodes, links between pages of different hosts the edges. Trust
 starts at the hosts whose pages the rules allow and flows along the links, as
 in a personalised PageRank; distrust starts at those whose pages they block and
 flows against the links, to who links to them. A page without a rule gets the
-verdict of its host. All amounts are whole numbers, so a run gives the same
-verdicts however the rows are spread.
+verdict of its host. What arrives at a host is added up in decimals, so a run
+gives the same verdicts however the rows are spread.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from cliplens.operators.joins import weighted_join
 from cliplens.session import materialize
 
-UNIT = 1_000_000_000
+UNIT = 1_000_000_000  # of the whole numbers in the SQL
 FOLLOW = 85  # per cent of an amount that follows the links
-ROUNDS = 6
+ROUNDS = 6  # that the SQL writes out
+TOLERANCE = 1e-6  # largest change of an amount in the last round, as a share of it
+AMOUNT = "decimal(38,24)"  # of sums; what is less is nothing
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]*)"
@@ -67,46 +69,52 @@ def host_edges(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
     return materialize(links.join(out, "src").join(into, "dst"), "host-edges")
 
 
-def _share(amount: str, total: str) -> Column:
-    """floor(amount * links / total) without overflow."""
-    return F.expr(f"links * (`{amount}` div `{total}`) + ((`{amount}` % `{total}`) * links) div `{total}`")
-
-
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS,
+def propagate(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE,
               follow: int = FOLLOW) -> DataFrame:
-    """(host, trust, distrust) after ``rounds``; ``seeds`` has the amounts of the start.
+    """(host, trust, distrust) when settled; ``seeds`` has the amounts of the start.
 
     Each round a host has 100 - ``follow`` per cent of its seed and ``follow``
     per cent of what its neighbours send, trust along the links and distrust
-    against them, each neighbour dividing what it has by its links.
+    against them, each neighbour dividing what it has by its links. Rounds go on
+    until no amount changes by more than ``tolerance`` of itself, so that an
+    amount has gone as far as links lead. Amounts only grow, and by ``follow``
+    per cent of the change before, so this ends.
     """
-    state = seeds
-    start = seeds.select("host", F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
-    for _ in range(rounds):
-        nothing = F.lit(0).cast("bigint")
+    kinds, kept = ("trust", "distrust"), (100 - follow) / 100
+    start = seeds.select("host", *[(F.col(c) * kept).alias(f"_{c}") for c in kinds])
+    state = materialize(start.select("host", *[F.col(f"_{c}").alias(c) for c in kinds]), "host-trust")
+    nothing = F.lit(0).cast(AMOUNT)
+    while True:
         forward = edges.join(state.withColumnRenamed("host", "src"), "src").select(
-            F.col("dst").alias("host"), _share("trust", "out").alias("trust"),
+            F.col("dst").alias("host"),
+            (F.col("trust") * F.col("links") / F.col("out")).cast(AMOUNT).alias("trust"),
             nothing.alias("distrust"))
         back = edges.join(state.withColumnRenamed("host", "dst"), "dst").select(
             F.col("src").alias("host"), nothing.alias("trust"),
-            _share("distrust", "into").alias("distrust"))
-        sent = forward.unionByName(back).groupBy("host").agg(
-            F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        amount = {c: F.expr(f"({100 - follow} * coalesce(_{c}, 0) + {follow} * coalesce({c}, 0)) div 100")
-                  for c in ("trust", "distrust")}
-        state = materialize(
-            start.join(sent, "host", "full").select(
-                "host", *[e.alias(c) for c, e in amount.items()]), "host-trust")
-    return state
+            (F.col("distrust") * F.col("links") / F.col("into")).cast(AMOUNT).alias("distrust"))
+        sent = forward.unionByName(back).groupBy("host").agg(*[F.sum(c).alias(f"_sent_{c}") for c in kinds])
+        before = state.select("host", *[F.col(c).alias(f"_old_{c}") for c in kinds])
+        amounts = start.join(sent, "host", "full").join(before, "host", "left").select(
+            "host", *[(F.coalesce(f"_{c}", F.lit(0.0)) + F.coalesce(
+                F.col(f"_sent_{c}").cast("double"), F.lit(0.0)) * (follow / 100)).alias(c) for c in kinds],
+            *[F.coalesce(f"_old_{c}", F.lit(0.0)).alias(f"_old_{c}") for c in kinds])
+        moved = F.lit(False)
+        for c in kinds:
+            moved = moved | (F.abs(F.col(c) - F.col(f"_old_{c}")) > tolerance * F.col(c))
+        written = materialize(amounts.withColumn("_moved", moved), "host-trust")
+        state = written.select("host", *kinds)
+        if not written.where("_moved").limit(1).count():
+            return state
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url",
-               html_col: str = "html", out: str = "judged", threshold: int = 0) -> DataFrame:
+               html_col: str = "html", out: str = "judged", threshold: float = 0.0) -> DataFrame:
     """``pages`` with a struct ``out``: host, path, rule, trust, distrust, verdict.
 
     The longest rule decides; without one the page is blocked if its host has
-    more distrust than trust by over ``threshold``, else allowed. A host's seed
-    is its share of allowed and of blocked pages among those with a rule.
+    more distrust than trust by over ``threshold`` and more than the walk is
+    exact to, else allowed. A host's seed is its share of allowed and of blocked
+    pages among those with a rule.
 
     NULL urls and those without ``://`` have an empty host and path, fit no rule
     and are allowed. NULL or empty html has no links; links are whole however
@@ -123,15 +131,16 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
         F.count_if(verdict == "block").alias("bad"))
     seeds = materialize(seeds.select(
         "host", "pages",
-        F.expr(f"if(good + bad = 0, 0, ({UNIT} * good) div (good + bad))").alias("trust"),
-        F.expr(f"if(good + bad = 0, 0, ({UNIT} * bad) div (good + bad))").alias("distrust")), "seeds")
+        F.expr("if(good + bad = 0, 0D, good / (good + bad))").alias("trust"),
+        F.expr("if(good + bad = 0, 0D, bad / (good + bad))").alias("distrust")), "seeds")
     scores = propagate(seeds.drop("pages"), host_edges(known, "__host", html_col))
     hosts = materialize(scores.join(seeds.select("host", "pages"), "host").select(
         F.col("host").alias("__host"), "pages", F.col("trust").alias("__trust"),
         F.col("distrust").alias("__distrust")), "host-verdicts")
     judged = weighted_join(known, hosts, "__host", "pages", "left", [url_col, *[
         c for c in columns if c not in (url_col, html_col)]])
-    by_host = F.when(F.col("__distrust") - F.col("__trust") > threshold, "block").otherwise("allow")
+    exact = F.greatest("__distrust", "__trust") * (TOLERANCE * 10)  # of a change, its later rounds add up
+    by_host = F.when(F.col("__distrust") - F.col("__trust") > exact + threshold, "block").otherwise("allow")
     return judged.select(*columns, F.struct(
         F.col("__host").alias("host"), F.col("__path").alias("path"),
         F.col("__rule.rule").alias("rule"), F.col("__trust").alias("trust"),
