@@ -58,6 +58,49 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def same_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+              other: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each run ``data[start:end]`` equals ``other[at:to]``, element by element."""
+    same = (ends - starts) == (to - at)
+    which = np.flatnonzero(same & (ends > starts))
+    if data is other:
+        which = which[starts[which] != at[which]]
+    sums = np.cumsum(ends[which] - starts[which])
+    lo = 0
+    while lo < len(which):
+        before = sums[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(sums, before + (1 << 20), side="right")))
+        rows = which[lo:hi]
+        size, last = ends[rows] - starts[rows], sums[lo:hi] - before
+        here = np.arange(last[-1]) + np.repeat(starts[rows] - (last - size), size)
+        there = here + np.repeat(at[rows] - starts[rows], size)
+        wrong = np.flatnonzero(data[here] != other[there])
+        same[rows[np.searchsorted(last, wrong, side="right")]] = False
+        lo = hi
+    return same
+
+
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One run of each value, and for every run the place of its value among these.
+
+    Runs are grouped by hash and each is compared with the first of its hash, so
+    runs that differ are never taken for one, whatever their hashes.
+    """
+    _, first, back = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    wrong = np.flatnonzero(~same_runs(data, starts, ends, data, starts[first][back], ends[first][back]))
+    if len(wrong):
+        found: dict[bytes, int] = {}
+        more = []
+        for i in wrong.tolist():
+            key = data[starts[i]:ends[i]].tobytes()
+            if key not in found:
+                found[key] = len(first) + len(more)
+                more.append(i)
+            back[i] = found[key]
+        first = np.r_[first, np.array(more, first.dtype)]
+    return first, back
+
+
 def sequence_hashes(hashes: np.ndarray, firsts: np.ndarray, n: int) -> np.ndarray:
     """A hash of the ``n`` hashes that begin at each of ``firsts``."""
     out = np.zeros(len(firsts), np.uint64)
