@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cliplens.llm import charclass, packed
 
-CACHE_SIZE = 300_000
+CACHE_SIZE, CACHED_CHARS = 300_000, 256
 _NEVER = np.int64(1 << 40)
 _WORKER: dict[str, SpeculativeEncoder] = {}
 ENCODED = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
@@ -70,8 +70,8 @@ class SpeculativeEncoder:
         self.keys = keys[order]
         self.key_ranks = np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self.stable = self._stable()
-        self.young: dict[int, tuple[bytes, bytes]] = {}
-        self.old: dict[int, tuple[bytes, bytes]] = {}
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
         self.proposed = self.merged = 0
 
     @classmethod
@@ -177,19 +177,21 @@ class SpeculativeEncoder:
         return (np.array(ids, "<u4").tobytes(),
                 " ".join([self.strings[i] for i in ids]).encode())
 
-    def words(self, hashes: np.ndarray, word) -> list[tuple[bytes, bytes]]:
-        """Coded words by hash; ``word(i)`` gives the string of the i-th."""
+    def words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """Coded words; those met lately are kept, if they are not long."""
         out, new = [], []
-        for i, h in enumerate(hashes.tolist()):
-            got = self.young.get(h)
-            if got is None and (got := self.old.get(h)) is not None:
-                self.young[h] = got
+        for i, word in enumerate(words):
+            got = self.young.get(word)
+            if got is None and (got := self.old.get(word)) is not None:
+                self.young[word] = got
             if got is None:
                 new.append(i)
             out.append(got)
-        texts = [word(i).encode().decode("latin-1").translate(self.letters) for i in new]
+        texts = [words[i].encode().decode("latin-1").translate(self.letters) for i in new]
         for i, ids in zip(new, self.encode_words(texts)):
-            out[i] = self.young[int(hashes[i])] = self.coded(ids)
+            out[i] = self.coded(ids)
+            if len(words[i]) <= CACHED_CHARS:
+                self.young[words[i]] = out[i]
         if len(self.young) > CACHE_SIZE:  # forget what has not been met lately
             self.old, self.young = self.young, {}
         return out
@@ -233,10 +235,9 @@ def _encoded(texts: list[str | None], worker: SpeculativeEncoder, normal: Normal
     for lo, hi in charclass.groups_of(parts):
         data, offsets = normal(parts[lo:hi])
         starts, ends = charclass.word_tokens(data, offsets, table)
-        hashes = packed.run_hashes(data, starts, ends)
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        coded = worker.words(unique, lambda i: charclass.string_at(
-            data, starts[first[i]], ends[first[i]]))
+        first, back = packed.distinct_runs(data, starts, ends)
+        coded = worker.words([charclass.string_at(data, a, b) for a, b in zip(
+            starts[first].tolist(), ends[first].tolist())])
         id_bytes, strings = [c[0] for c in coded], [c[1] for c in coded]
         where = np.searchsorted(starts, offsets)
         order = back.tolist()
@@ -287,8 +288,8 @@ def encode_bpe(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 
     NULL counts as the empty text: no ids, an empty string. Very long texts are
     encoded whole, repeated rows alike, an empty table stays empty, and an
-    existing column named ``out`` is replaced. Words are told apart by a 64-bit
-    hash.
+    existing column named ``out`` is replaced. Words are grouped by a hash and
+    compared whole.
     """
     from tokenizers import Tokenizer
 

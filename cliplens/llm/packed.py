@@ -80,13 +80,16 @@ def same_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     return same
 
 
-def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+                  hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """One run of each value, and for every run the place of its value among these.
 
     Runs are grouped by hash and each is compared with the first of its hash, so
     runs that differ are never taken for one, whatever their hashes.
     """
-    _, first, back = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    if hashes is None:
+        hashes = run_hashes(data, starts, ends)
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
     wrong = np.flatnonzero(~same_runs(data, starts, ends, data, starts[first][back], ends[first][back]))
     if len(wrong):
         found: dict[bytes, int] = {}

@@ -25,37 +25,48 @@ from cliplens.session import materialize
 TABLE_SHARES = 1 << 18
 TASK_SIZE = 1 << 15
 MAX_PIECE = 64
-CACHE_SIZE = 400_000
+CACHE_SIZE, CACHED_CHARS = 400_000, 256
 _WORKER: dict[str, Tokens] = {}
 
 
 class LengthTable:
-    """64-bit hashes of pre-tokens to their numbers of tokens, in two flat arrays."""
+    """Pre-tokens to their numbers of tokens, in flat arrays.
 
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray):
-        bits = max(4, int(2 * len(hashes)).bit_length())
+    Open addressing by hash; a hit counts only if the characters are the same.
+    """
+
+    def __init__(self, pieces: list[str], lengths: np.ndarray):
+        self.data, offsets = charclass.code_points(pieces)
+        self.starts, self.ends, self.lengths = offsets[:-1], offsets[1:], np.asarray(lengths, np.int64)
+        hashes = packed.run_hashes(self.data, self.starts, self.ends)
+        bits = max(4, int(2 * len(pieces)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.zeros(1 << bits, np.uint64)
-        self.lengths = np.zeros(1 << bits, np.int32)
+        self.entry = np.full(1 << bits, -1, np.int32)
         self.reach = 1
-        for h, n in zip(hashes.tolist(), lengths.tolist()):
+        for i, h in enumerate(hashes.tolist()):
             slot, step = h >> (64 - bits), 1
-            while self.keys[slot] and self.keys[slot] != h:
+            while self.entry[slot] >= 0 and self.keys[slot] != h:
                 slot, step = (slot + 1) & self.mask, step + 1
-            self.keys[slot], self.lengths[slot] = h, n
+            self.keys[slot], self.entry[slot] = h, i
             self.reach = max(self.reach, step)
 
-    def get(self, hashes: np.ndarray) -> np.ndarray:
-        """Lengths, -1 where the table has none."""
+    def get(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Lengths of the runs ``data[start:end]``, -1 where the table has none."""
         slot = (hashes >> self.shift).astype(np.int64)
-        out = np.where(self.keys[slot] == hashes, self.lengths[slot], -1)
+        found = np.where(self.keys[slot] == hashes, self.entry[slot], -1)
         for _ in range(1, self.reach):
-            left = np.flatnonzero((out < 0) & (self.keys[slot] != 0))
+            left = np.flatnonzero((found < 0) & (self.entry[slot] >= 0))
             if not len(left):
                 break
             slot[left] = (slot[left] + 1) & self.mask
             at = slot[left]
-            out[left] = np.where(self.keys[at] == hashes[left], self.lengths[at], -1)
+            found[left] = np.where(self.keys[at] == hashes[left], self.entry[at], -1)
+        out = np.full(len(hashes), -1, np.int64)
+        hit = np.flatnonzero(found >= 0)
+        entry = found[hit]
+        hit_is = packed.same_runs(data, starts[hit], ends[hit], self.data, self.starts[entry], self.ends[entry])
+        out[hit[hit_is]] = self.lengths[entry[hit_is]]
         return out
 
 
@@ -67,8 +78,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.young: dict[int, int] = {}
-        self.old: dict[int, int] = {}
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     @classmethod
     def of(cls, spec: str) -> Tokens:
@@ -77,18 +88,20 @@ class Tokens:
             _WORKER[spec] = cls(spec)
         return _WORKER[spec]
 
-    def lengths(self, hashes: np.ndarray, piece) -> np.ndarray:
-        """Lengths of pre-tokens by hash; ``piece(i)`` gives the string of the i-th."""
+    def lengths(self, pieces: list[str]) -> np.ndarray:
+        """Lengths of pre-tokens; those met lately are kept, if they are not long."""
         out, new = [], []
-        for i, h in enumerate(hashes.tolist()):
-            n = self.young.get(h)
-            if n is None and (n := self.old.get(h)) is not None:
-                self.young[h] = n
+        for i, piece in enumerate(pieces):
+            n = self.young.get(piece)
+            if n is None and (n := self.old.get(piece)) is not None:
+                self.young[piece] = n
             if n is None:
                 new.append(i)
             out.append(n)
-        for i, n in zip(new, self.encode([piece(i) for i in new])):
-            out[i] = self.young[int(hashes[i])] = n
+        for i, n in zip(new, self.encode([pieces[i] for i in new])):
+            out[i] = n
+            if len(pieces[i]) <= CACHED_CHARS:
+                self.young[pieces[i]] = n
         if len(self.young) > CACHE_SIZE:  # forget what has not been asked for lately
             self.old, self.young = self.young, {}
         return np.array(out, np.int64)
@@ -112,7 +125,8 @@ def _frequent_udf(shared):
         for batch in batches:
             parts, _, _ = charclass.segments(batch.column(0).to_pylist(), specials)
             for _, _, data, _, starts, ends, hashes in _cut(parts, table):
-                _, at, n = np.unique(hashes, return_index=True, return_counts=True)
+                at, back = packed.distinct_runs(data, starts, ends, hashes)
+                n = np.bincount(back, minlength=len(at))
                 often = (n >= 3) & (ends[at] - starts[at] <= MAX_PIECE)
                 for i, count in zip(at[often].tolist(), n[often].tolist()):
                     seen[charclass.string_at(data, starts[i], ends[i])] += count
@@ -135,15 +149,13 @@ def _count_udf(shared, spec):
             total = np.zeros(len(texts), np.int64)
             np.add.at(total, owner, np.array([bool(s) for s in after], np.int64))
             for lo, _, data, offsets, starts, ends, hashes in _cut(strings, table):
-                n = lookup.get(hashes).astype(np.int64)
+                at, back = packed.distinct_runs(data, starts, ends, hashes)
+                n = lookup.get(hashes[at], data, starts[at], ends[at])
                 missed = np.flatnonzero(n < 0)
-                unique, at, back = np.unique(
-                    hashes[missed], return_index=True, return_inverse=True)
-                at = missed[at]
-                n[missed] = worker.lengths(
-                    unique, lambda i: charclass.string_at(data, starts[at[i]], ends[at[i]]))[back]
+                n[missed] = worker.lengths([charclass.string_at(data, starts[i], ends[i])
+                                            for i in at[missed].tolist()])
                 of = owner[lo + packed.owners(starts, offsets)]
-                total += np.bincount(of, n, len(total)).astype(np.int64)
+                total += np.bincount(of, n[back], len(total)).astype(np.int64)
             yield pa.array(total, pa.int64())
 
     return F.arrow_udf(count, "bigint").asNondeterministic()
@@ -162,8 +174,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 
     NULL counts as the empty text and has no tokens. Very long texts are
     counted whole. Repeated rows are counted alike, an empty table stays empty,
-    and an existing column named ``out`` is replaced. Pre-tokens are told apart
-    by a 64-bit hash.
+    and an existing column named ``out`` is replaced. Pre-tokens are grouped by a
+    hash and compared whole, in the table as well.
     """
     from tokenizers import Tokenizer
 
@@ -178,8 +190,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     sums = materialize(pieces.groupBy("piece").agg(F.sum("n").alias("n")), "pre-tokens")
     total = sums.agg(F.sum("n").alias("n")).first()["n"] or 0
     top = [r["piece"] for r in sums.where(F.col("n") * table_shares >= total).select("piece").collect()]
-    data, offsets = charclass.code_points(top)
-    lookup = LengthTable(packed.run_hashes(data, offsets[:-1], offsets[1:]),
-                         np.array(Tokens(spec).encode(top), np.int64))
+    lookup = LengthTable(top, np.array(Tokens(spec).encode(top), np.int64))
     counted = _count_udf(shared, context.broadcast((spec, lookup)))
     return docs.withColumn(out, counted(F.col(text_col)))

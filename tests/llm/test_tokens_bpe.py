@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from cliplens.llm import charclass
+from cliplens.llm import charclass, packed
 from cliplens.llm.bpe import SpeculativeEncoder, encode_bpe
 from cliplens.llm.tokens import LengthTable, count_tokens
 
@@ -33,10 +33,34 @@ def test_counts_equal_the_library(spark, edge_docs, edge_rows, no_docs):
     assert count_tokens(no_docs, BYTES).count() == 0
 
 
+def thue_morse(letters, size):
+    """Two words of equal polynomial hash modulo 2**64, whatever its odd base."""
+    word, swap = letters[0], str.maketrans(letters, letters[::-1])
+    while len(word) < size:
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
 def test_length_table():
-    keys = np.array([5, 6, 1 << 63, (1 << 63) + 1, 77], np.uint64)
-    table = LengthTable(keys, np.arange(1, 6))
-    assert table.get(np.r_[keys, np.array([9], np.uint64)]).tolist() == [1, 2, 3, 4, 5, -1]
+    pieces = ["a", "bc", "", "the", *thue_morse("ab", 1024)]
+    table = LengthTable(pieces, np.arange(1, 7))
+    asked = pieces + ["x", "th"]
+    data, offsets = charclass.code_points(asked)
+    starts, ends = offsets[:-1], offsets[1:]
+    got = table.get(packed.run_hashes(data, starts, ends), data, starts, ends).tolist()
+    assert got == [1, 2, 3, 4, -1, 6, -1, -1]  # of two words of one hash the table holds the later
+
+
+def test_words_of_equal_hashes(spark):
+    for size, letters in ((2048, "ab"), (1024, "an")):
+        for text in thue_morse(letters, size):
+            rows = [(1, text), (2, " ".join(thue_morse(letters, size))), (3, text + " " + text)]
+            docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+            bytes_, words = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
+            assert [r["n_tokens"] for r in count_tokens(docs, BYTES).orderBy("doc_id").collect()] == [
+                len(bytes_.encode(t)) for _, t in rows]
+            assert [list(r["encoded"]["ids"]) for r in encode_bpe(docs, WORDS).orderBy("doc_id").collect()] == [
+                words.encode(t, add_special_tokens=False).ids for _, t in rows]
 
 
 def test_encoding_and_decoding_equal_the_library(spark, edge_docs, edge_rows, no_docs):
