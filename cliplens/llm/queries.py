@@ -7,7 +7,7 @@ import importlib
 import corpus_pipeline
 
 PARTS = ["q_decontaminate", "q_tokens", "q_chat", "q_sharding", "q_language", "q_lines",
-         "q_simhash", "q_bpe", "q_linkgraph", "q_topk", "q_merkle", "q_ranked"]
+         "q_simhash", "q_bpe", "q_linkgraph", "q_topk", "q_merkle", "q_ranked", "q_packing"]
 
 
 def _collect(attribute: str) -> dict:
