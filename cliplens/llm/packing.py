@@ -11,6 +11,8 @@ capacity) and the plan, which depends on it alone, pass through the driver.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cliplens.llm import bpe, charclass
+from cliplens.llm import bpe, charclass, packed
 from cliplens.operators.ranking import numbered
 from cliplens.session import materialize, spread
 
 CAPACITY = 4096
+_WORKER: dict[str, WordIds] = {}
 _PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -104,16 +107,85 @@ class Plan:
         return sequence + inside // times, offset + inside % times * length
 
 
+class WordIds:
+    """Ids of words by the tokenizers library; words met lately are kept, if they are not long."""
+
+    def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.normal = bpe.Normal(Tokenizer.from_str(spec))
+        # Words come normalized, and normalizing twice can differ from once.
+        self.tokenizer = Tokenizer.from_str(json.dumps({**json.loads(spec), "normalizer": None}))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, spec: str) -> WordIds:
+        if spec not in _WORKER:
+            _WORKER.clear()
+            _WORKER[spec] = cls(spec)
+        return _WORKER[spec]
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        out, new = [], []
+        for i, word in enumerate(words):
+            got = self.young.get(word)
+            if got is None and (got := self.old.get(word)) is not None:
+                self.young[word] = got
+            if got is None:
+                new.append(i)
+            out.append(got)
+        if new:
+            found = self.tokenizer.encode([words[i] for i in new], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = 4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(new)))
+            at = 0
+            for i, end in zip(new, ends.tolist()):
+                out[i], at = ids[at:end], end
+                if len(words[i]) <= bpe.CACHED_CHARS:
+                    self.young[words[i]] = out[i]
+        if len(self.young) > bpe.CACHE_SIZE:
+            self.old, self.young = self.young, {}
+        return out
+
+
+def text_ids(texts: list[str | None], worker: WordIds, table: np.ndarray,
+             specials: dict[str, int]) -> Iterator[bytes]:
+    """Ids of each text as little-endian 32-bit integers; different words are encoded once."""
+    parts, owner, after = charclass.segments(texts, list(specials))
+    held: list[bytes] = []
+    for lo, hi in charclass.groups_of(parts):
+        data, offsets = worker.normal(parts[lo:hi])
+        starts, ends = charclass.word_tokens(data, offsets, table)
+        first, back = packed.distinct_runs(data, starts, ends)
+        coded = worker([charclass.string_at(data, a, b) for a, b in zip(
+            starts[first].tolist(), ends[first].tolist())])
+        sizes = np.array([len(c) // 4 for c in coded], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        each = sizes[back]
+        done = np.r_[0, np.cumsum(each)]
+        ids = np.frombuffer(b"".join(coded), "<u4")[
+            np.arange(done[-1]) + np.repeat(begins[back] - done[:-1], each)]
+        cuts = done[np.searchsorted(starts, offsets)].tolist()
+        for k in range(lo, hi):
+            held.append(ids[cuts[k - lo]:cuts[k - lo + 1]].tobytes())
+            if after[k]:
+                held.append(specials[after[k]].to_bytes(4, "little"))
+            if k + 1 == len(parts) or owner[k + 1] != owner[k]:
+                yield b"".join(held)
+                held = []
+
+
 def _cut_udf(shared, capacity: int, end_id: int):
     tail = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, table, specials = shared.value
-        worker = bpe.SpeculativeEncoder.of(spec)
-        normal = bpe.Normal(worker.tokenizer)
+        worker = WordIds.of(spec)
         for batch in batches:
             rows: list[list] = [[] for _ in range(5)]
-            for i, (ids, _) in enumerate(bpe._encoded(batch.column(1).to_pylist(), worker, normal, table, specials)):
+            for i, ids in enumerate(text_ids(batch.column(1).to_pylist(), worker, table, specials)):
                 ids += tail
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start:4 * (start + capacity)]

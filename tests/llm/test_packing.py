@@ -9,7 +9,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from cliplens.llm.packing import Plan, pack, pack_documents
+from cliplens.llm import charclass
+from cliplens.llm.packing import Plan, WordIds, pack, pack_documents, text_ids
+from tests.llm.test_tokens_bpe import texts, thue_morse
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -74,6 +76,19 @@ def test_documents(spark, edge_docs, edge_rows, no_docs):
     assert pack_documents(no_docs, WORDS).count() == 0
 
 
+def test_ids_equal_the_library():
+    library = Tokenizer.from_file(WORDS)
+    with open(WORDS, encoding="utf-8") as file:
+        worker = WordIds(file.read())
+    table = charclass.class_table(library.pre_tokenizer)
+    specials = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+    odd = ["J\u030c", "İ", "ΑΣ", "<|ENDOFTEXT|>", "a" * 5000, *thue_morse("ab", 2048)]
+    rows = [*texts(), *odd, " ".join(odd), None]
+    for _ in range(2):  # the second time from the cache
+        got = [np.frombuffer(i, "<u4").tolist() for i in text_ids(rows, worker, table, specials)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in rows]
+
+
 def test_hot_length_is_dealt_over_tasks(spark):
     rows = [(i, 5 if i % 3 else 1 + i % 40) for i in range(3000)]
     pieces = spark.createDataFrame(rows, "doc long, length long").repartition(8)
