@@ -1,8 +1,11 @@
 """The near-dedup stage: planted pairs of known similarity against all pairs of shingle sets."""
 
+import itertools
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cliplens.llm import similar
@@ -73,13 +76,13 @@ def test_chains_and_wide_buckets_keep_their_components(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in similar.keep_one(docs).collect()) == want
 
 
-def test_forest_equals_all_pairs():
+def test_links_equal_all_pairs():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 40, 100)
     sets = [np.unique(np.append(base[rng.random(100) < 0.87], i)) for i in range(40)]
     near = [(i, j) for j in range(40) for i in range(j)
             if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
-    links = similar.similar_forest(sets, 0.8)
+    links = similar.similar_links(sets, np.arange(40), np.ones(40, bool), 0.8)
     assert {tuple(sorted(e)) for e in links} <= set(near)
 
     def parts(edges):
@@ -89,3 +92,46 @@ def test_forest_equals_all_pairs():
         return len(set(group))
 
     assert 1 < parts(near) == parts(links) == 40 - len(links)
+
+
+def test_rows_of_one_group_are_not_compared():
+    sets = [np.arange(10, dtype=np.uint64)] * 4
+    assert similar.similar_links(sets, np.array([0, 0, 0, 0]), np.ones(4, bool), 0.8) == []
+    assert similar.similar_links(sets, np.array([0, 0, 1, 1]), np.array([0, 0, 0, 1], bool), 0.8) == [(3, 0)]
+    assert similar.similar_links(sets, np.array([0, 1, 2, 3]), np.zeros(4, bool), 0.8) == []
+
+
+@pytest.mark.parametrize("strays, limit", [(40, 2), (3000, None)])
+def test_strays_meet_all_others_once(spark, strays, limit):
+    """A hot bucket with strays: no more copies than twice the rows while one block holds the strays."""
+    rows = [(7, b"m%d" % i, b"main") for i in range(5000)] + [(7, b"s%d" % i, b"s%d" % i) for i in range(strays)]
+    n = len(rows)
+    opened = spark.createDataFrame(
+        [(7, n, b"main", 20, -(-strays // similar.BLOCK_ROWS), -(-5000 // similar.BLOCK_ROWS))],
+        "key long, n long, main binary, chunks long, s long, m long")
+    cells = similar._across(spark.createDataFrame(rows, "key long, node binary, root binary"), opened).collect()
+    assert limit is None or len(cells) <= limit * n
+    met, by_cell = set(), {}
+    for r in cells:
+        by_cell.setdefault((r["a"], r["b"]), []).append((bytes(r["node"]), r["left"]))
+    pairs = 0
+    for (a, b), members in by_cell.items():
+        lefts = [m for m, left in members if left]
+        rest = [m for m, left in members if not left]
+        pairs += len(lefts) * (len(lefts) - 1) // 2 if a == b else len(lefts) * len(rest)
+        if limit:
+            met |= {frozenset(p) for p in (
+                itertools.combinations(lefts, 2) if a == b else itertools.product(lefts, rest))}
+    assert pairs == strays * 5000 + strays * (strays - 1) // 2
+    assert not limit or len(met) == pairs
+
+
+def test_text_ids_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [("b", long, 1), ("a", long + " x", 2), (None, long, 3), ("c", "other text", 4), ("", "other  text", 5)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, __id int").withColumns(
+        {"__digest": F.col("__id"), "__none": F.col("__id"), "__near_id": F.col("__id")})
+    kept = similar.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["__id"], r["__none"], r["__near_id"]) for r in kept.collect()) == [
+        ("", 5, 5, 5), ("a", 2, 2, 2)]
