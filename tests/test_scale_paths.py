@@ -220,16 +220,6 @@ def test_split_join_equals_broadcast(spark):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
-def test_sparse_search_in_blocks(spark, monkeypatch):
-    corpus = videos(spark, SF, "video_id", "title", "view_count", "category", "cluster_id")
-    asked = search.number_variants(corpus.where("view_count < 400000").select(
-        F.col("video_id").alias("query_id"), F.col("title").alias("variant")))
-    a = {(r.query_id, r.video_id) for r in search.sparse_hits(asked, corpus, 3).collect()}
-    monkeypatch.setattr(search, "QUERY_BLOCK_BYTES", 8 * 10_000)
-    b = {(r.query_id, r.video_id) for r in search.sparse_hits(asked, corpus, 3).collect()}
-    assert a == b and a
-
-
 def test_ridge_equals_closed_form(spark):
     rng = np.random.default_rng(3)
     x, n = rng.normal(size=(200, 5)), 200
