@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cliplens.operators import (
-    blocks, components, density, joins, models, profile, quantiles, ranking, search, vectors,
+    blocks, components, density, joins, models, profile, quantiles, ranking, search, silhouettes, vectors,
 )
 from cliplens.plans.inputs import videos
 from tests.conftest import SF
@@ -24,7 +24,6 @@ def cloud():
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(vectors, "BLOCK_BYTES", 16 * 4 * 8)
     monkeypatch.setattr(blocks, "pivot_count", lambda n: 8)
     monkeypatch.setattr(blocks, "QUERY_SPLIT", 2)
 
@@ -142,7 +141,18 @@ def test_null_labels_are_in_no_cluster(spark):
     assert vectors.silhouette(pts, ["label"]).first().score > 0.97
 
 
-def test_silhouette_in_blocks(spark, cloud, small_blocks):
+def test_far_clusters_are_not_opened(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(scale=0.1, size=(50, 4)) + c * 10 for c in range(8)])
+    pts = frame(spark, x).withColumn("label", F.floor(F.col("id") / 50))
+    summaries = silhouettes.Summaries(pts.withColumn("labeling", F.lit(0)))
+    met = silhouettes.routed(pts, summaries).groupBy("query_id").count().collect()
+    assert len(met) == 400 and max(r["count"] for r in met) <= 3  # its own, and one neighbour on each side
+    assert vectors.silhouette(pts, ["label"]).first().score > 0.95
+
+
+def test_silhouette_in_blocks(spark, cloud, small_blocks, monkeypatch):
+    monkeypatch.setattr(silhouettes, "BLOCK_ROWS", 16)
     label = np.arange(len(cloud)) % 3
     label[0] = 9  # a cluster of one
     pts = frame(spark, cloud).withColumn("label", F.when(F.col("id") == 0, 9).otherwise(
