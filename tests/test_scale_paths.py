@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from cliplens.operators import (
     blocks, components, density, joins, models, profile, quantiles, ranking, search, silhouettes, vectors,
 )
-from cliplens.plans.inputs import videos
-from tests.conftest import SF
 
 
 @pytest.fixture(scope="module")
