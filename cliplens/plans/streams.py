@@ -8,6 +8,7 @@ from cliplens.plans.ingest import DELTA_SQL, FLAT, delta_videos
 from cliplens.plans.inputs import VIDEOS_SQL, table, videos, with_ctes
 from cliplens.session import scratch_path
 from cliplens.streaming import jobs
+from cliplens.streaming.takeback import TakeBackTotals
 
 V = with_ctes(VIDEOS_SQL)
 
@@ -70,7 +71,34 @@ def stream_refresh(spark, sf):
                     (F.col("total") / F.col("n")).alias("average_views"))
 
 
-QUERIES = {f.__name__: f for f in [stream_dedup, stream_append, stream_upsert, stream_refresh]}
+def stream_take_back(spark, sf):
+    """Topic totals under updates, moves and deletes.
+
+    All items come first; then the labelled ones again, moved to the next topic
+    with one more view, the toxic ones deleted; at last old versions of them,
+    late. The job is opened again for each drop.
+    """
+    landed, table_path, checkpoint = (scratch_path(spark, n) for n in ("items", "take-back", "ck"))
+    first = videos(spark, sf, "video_id", "cluster_id", "view_count").select(
+        "*", F.lit(0).cast("bigint").alias("version"), F.lit(False).alias("deleted"))
+    toxic = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("video_id")).agg(
+        F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    changed = first.join(toxic, "video_id").select(
+        "video_id", (F.col("cluster_id") + 1).alias("cluster_id"),
+        (F.col("view_count") + 1).alias("view_count"), F.lit(2).cast("bigint").alias("version"),
+        (F.col("toxic") == 1).alias("deleted"))
+    late = changed.withColumn("version", F.lit(1).cast("bigint")).withColumn("deleted", F.lit(False))
+    for rows in (first, changed, late):
+        rows.write.mode("append").parquet(landed)
+        totals = TakeBackTotals(spark, table_path, "video_id", "version", "cluster_id", "view_count")
+        jobs.run_batches(jobs.read_stream(spark, landed, first.schema), totals.write_batch, checkpoint)
+        totals.vacuum()
+    return totals.totals().select(
+        "cluster_id", F.col("n").alias("total_videos"), F.col("total").alias("total_views"))
+
+
+QUERIES = {f.__name__: f for f in [
+    stream_dedup, stream_append, stream_upsert, stream_refresh, stream_take_back]}
 
 _FLAT = ", ".join(FLAT)
 ORACLES = {
@@ -84,4 +112,11 @@ ORACLES = {
     "stream_refresh": V + """
       SELECT cluster_id, count(*) AS total_videos, CAST(sum(view_count) AS BIGINT) AS total_views,
              avg(view_count) AS average_views FROM videos WHERE cluster_id IS NOT NULL GROUP BY 1""",
+    "stream_take_back": V + """
+      , marked AS (SELECT doc_id, max(coalesce(toxic, 0)) AS toxic FROM labels GROUP BY 1)
+      SELECT CASE WHEN m.doc_id IS NULL THEN cluster_id ELSE cluster_id + 1 END AS cluster_id,
+             count(*) AS total_videos,
+             CAST(sum(view_count + CASE WHEN m.doc_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS total_views
+      FROM videos v LEFT JOIN marked m ON m.doc_id = v.video_id
+      WHERE coalesce(m.toxic, 0) <> 1 GROUP BY 1""",
 }
