@@ -29,7 +29,7 @@ class TakeBackTotals:
     inside a batch a deletion, then the largest row. Deleted keys are kept
     without counting, so a late old version does not bring them back. Rows
     without key or order are no change. A NULL group is a group; a NULL value
-    counts as an item and adds nothing.
+    counts as an item and adds nothing. A table of empty batches only gives no rows.
 
     The index is written last and commits a batch; one that is repeated after
     a failure starts from the batches before it and overwrites its own files.
@@ -45,6 +45,8 @@ class TakeBackTotals:
         before = self._current(batch_id)
         touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]
         if not touched:
+            if not before:  # the columns, for readers of a table that holds nothing yet
+                changes.write.mode("overwrite").parquet(f"{self.path}/none")
             return
         kept = self._kept({b: before[b] for b in touched if b in before}, changes.schema)
         pairs = materialize(lookup_join(
@@ -70,18 +72,24 @@ class TakeBackTotals:
 
     def totals(self) -> DataFrame:
         """(group, n, total) after the last committed batch; groups without items are gone."""
-        last = max(self._current().values())
-        t = self.spark.read.parquet(f"{self.path}/totals/batch={last}")
+        now = self._current()
+        if now:
+            t = self.spark.read.parquet(f"{self.path}/totals/batch={max(now.values())}")
+        else:
+            t = self._none().select("g", F.lit(0).cast("bigint").alias("n"), F.col("x").alias("total"))
         return t.select(F.col("g").alias(self.names["g"]), "n", "total")
 
     def rows(self) -> DataFrame:
         """The newest row of each key that is not deleted."""
-        rows = self._kept(self._current(), None).where(~F.col("gone"))
+        now = self._current()
+        rows = (self._kept(now, None) if now else self._none()).where(~F.col("gone"))
         return rows.select(*[F.col(c).alias(self.names[c]) for c in ("k", "v", "g", "x")])
 
     def vacuum(self) -> int:
         """Drop files that neither the last batch nor a repetition of it needs; returns their folders."""
         now = self._current()
+        if not now:
+            return 0
         last = max(now.values())
         used = set(now.items()) | set(self._current(last).items())
         dropped = [f"rows/batch={r['batch']}/bucket={r['bucket']}" for r in self._index().collect()
@@ -102,6 +110,9 @@ class TakeBackTotals:
         # By bucket, so that a task writes few of the bucket folders.
         return materialize(newest.withColumn("bucket", bucket).repartition("bucket"), "changes")
 
+    def _none(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/none")
+
     def _index(self) -> DataFrame:
         return self.spark.read.schema(INDEX).parquet(f"{self.path}/index/*")
 

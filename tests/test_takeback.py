@@ -114,6 +114,8 @@ def test_decimals_are_exact_and_doubles_refused(spark, tmp_path):
 def test_empty_batch_changes_nothing(spark, tmp_path):
     table = store(spark, tmp_path / "t")
     empty = spark.createDataFrame([], SCHEMA)
-    table.write_batch(spark.createDataFrame([(1, 1, False, "a", 5, "")], SCHEMA), 0)
-    table.write_batch(empty, 1)
-    assert found(table) == {"a": (1, 5)}
+    table.write_batch(empty, 0)
+    assert found(table) == {} and table.rows().collect() == [] and table.vacuum() == 0
+    table.write_batch(spark.createDataFrame([(1, 1, False, "a", 5, "")], SCHEMA), 1)
+    table.write_batch(empty, 2)
+    assert found(table) == {"a": (1, 5)} and table.vacuum() == 0
