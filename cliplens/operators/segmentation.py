@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from cliplens.session import materialize
 
 WORD_SHARES = 1 << 20
 MAX_WORD = 8
+PART_CHARS, PART_BYTES = 1 << 17, 1 << 20  # what is cut at a time, of runs and of a batch's rows
 _BEGIN, _MIDDLE, _END, _SINGLE = range(4)
 
 
@@ -71,6 +73,7 @@ class Dictionary:
         check[0] = 0
         jump = list(range(size + 1))  # from a taken place towards the next free one
         level, depth = [(0, 0, len(words))], 0
+        begin_at: dict[int, int] = {}  # by number of children: places before are mostly taken
         while level:
             below = []
             for node, lo, hi in level:
@@ -86,7 +89,7 @@ class Dictionary:
                 if not cuts:
                     continue
                 children = np.array([c for c, _, _ in cuts])
-                slot = self._free(jump, 1 + int(children[0]))
+                slot = self._free(jump, max(1 + int(children[0]), begin_at.get(len(cuts), 0)))
                 while True:
                     place = slot - int(children[0])
                     while place + children[-1] >= size:
@@ -97,6 +100,8 @@ class Dictionary:
                     if (check[place + children] < 0).all():
                         break
                     slot = self._free(jump, slot + 1)
+                if len(cuts) > 1:
+                    begin_at[len(cuts)] = slot
                 for slot in (place + children).tolist():
                     jump[slot] = slot + 1
                 base[node] = place
@@ -187,9 +192,9 @@ class Dictionary:
         best = np.zeros(found.shape[1] + 1)
         step = np.ones(found.shape[1], np.int64)
         order = np.argsort(starts - ends, kind="stable")  # longest first
-        ends, sizes = ends[order], (ends - starts)[order]
-        for t in range(1, int(sizes.max()) + 1):
-            at = ends[:np.searchsorted(-sizes, -t, side="right")] - t
+        ends, shorter = ends[order], (starts - ends)[order]
+        for t in range(1, -int(shorter[0]) + 1):
+            at = ends[:np.searchsorted(shorter, -t, side="right")] - t
             top = np.full(len(at), -np.inf)
             for n in range(min(self.longest, t)):
                 after = best[at + n + 1] if n + 1 < t else 0.0
@@ -216,25 +221,36 @@ class Dictionary:
         if not len(lo):
             return
         order = np.argsort(lo - hi, kind="stable")
-        lo, sizes = lo[order], (hi - lo)[order]
+        lo, shorter = lo[order], (lo - hi)[order]
+        most = -int(shorter[0])
         score = self.start + self.emit[:, codes[lo]].T
         came = []
-        for t in range(1, int(sizes.max())):
-            n = np.searchsorted(-sizes, -t, side="left")
+        for t in range(1, most):
+            n = np.searchsorted(shorter, -t, side="left")
             ways = score[:n, :, None] + self.move[None]
             back = ways.argmax(1)
             came.append(back)
             now = np.take_along_axis(ways, back[:, None, :], 1)[:, 0] + self.emit[:, codes[lo[:n] + t]].T
             score[:n] = now
         state = np.where(score[:, _END] >= score[:, _SINGLE], _END, _SINGLE)
-        for t in range(int(sizes.max()) - 1, -1, -1):
-            n = np.searchsorted(-sizes, -t, side="left")
+        for t in range(most - 1, -1, -1):
+            n = np.searchsorted(shorter, -t, side="left")
             begins[lo[:n] + t] = (state[:n] == _BEGIN) | (state[:n] == _SINGLE)
             if t:
                 state[:n] = came[t - 1][np.arange(n), state[:n]]
 
     def segment(self, runs: list[str]) -> list[list[str]]:
-        """Words of each run."""
+        """Words of each run; runs of ``PART_CHARS`` together, or one longer one, are cut at a time."""
+        out, part, size = [], [], 0
+        for run in runs:
+            if part and size + len(run) > PART_CHARS:
+                out += self._segment(part)
+                part, size = [], 0
+            part.append(run)
+            size += len(run)
+        return out + self._segment(part)
+
+    def _segment(self, runs: list[str]) -> list[list[str]]:
         sizes = np.array([len(r) for r in runs], np.int64)
         text = "".join(runs)
         ends = np.cumsum(sizes)
@@ -264,17 +280,21 @@ def dictionary_segment(spark, dictionary: Dictionary, run_class: str = HAN_CLASS
     def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for runs in batches:
             runs = runs.cast(pa.list_(pa.string()))
-            flat = runs.flatten().to_pylist()
-            han = [i for i, run in enumerate(flat) if _is_han(run)]
-            cut = dict(zip(han, shared.value.segment([flat[i] for i in han])))
-            rows, at = [], 0
-            for size in runs.value_lengths().to_pylist():
-                if size is None:
-                    rows.append(None)
-                    continue
-                rows.append([w for i in range(at, at + size) for w in cut.get(i, flat[i:i + 1])])
-                at += size
-            yield pa.array(rows, pa.list_(pa.string()))
+            made = [cut_rows(part) for part in _row_parts(runs)]
+            yield pa.concat_arrays(made) if made else runs
+
+    def cut_rows(runs: pa.Array) -> pa.Array:
+        flat = runs.flatten().to_pylist()
+        han = [i for i, run in enumerate(flat) if _is_han(run)]
+        cut = dict(zip(han, shared.value.segment([flat[i] for i in han])))
+        rows, at = [], 0
+        for size in runs.value_lengths().to_pylist():
+            if size is None:
+                rows.append(None)
+                continue
+            rows.append([w for i in range(at, at + size) for w in cut.get(i, flat[i:i + 1])])
+            at += size
+        return pa.array(rows, pa.list_(pa.string()))
 
     udf = F.arrow_udf(words, "array<string>")
 
@@ -287,5 +307,15 @@ def dictionary_segment(spark, dictionary: Dictionary, run_class: str = HAN_CLASS
     return tokenize
 
 
+def _row_parts(lists: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a list column of about ``PART_BYTES`` of text each; a longer row is one by itself."""
+    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    text = np.r_[0, np.cumsum(pc.binary_length(lists.flatten()).to_numpy(zero_copy_only=False))]
+    part = text[np.cumsum(length)] // PART_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lists)] if len(lists) else [0]
+    for a, b in zip(edges, edges[1:]):
+        yield lists.slice(a, b - a)
+
+
 def _is_han(run: str) -> bool:
     return "一" <= run[0] <= "龥"

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cliplens.functions import text as X
+from cliplens.operators import segmentation
 from cliplens.operators.segmentation import Dictionary, dictionary_of, dictionary_segment, learned_words
 from cliplens.plans import text as plans
 from tests.conftest import SF
@@ -115,3 +117,26 @@ def test_registered_query(spark):
         for run in r["runs"] or []:
             want += plain(run, words, d) if "一" <= run[0] <= "龥" else regex.findall(r"[\p{L}\p{N}]+", run)
         assert got[r["video_id"]] == " ".join(want)
+
+
+def test_a_batch_is_cut_in_bounded_parts(monkeypatch):
+    words = {"天地": 5, "地": 3, "人": 2}
+    whole = segmentation.Dictionary(words)
+    runs = ["天地人", "", "地天", "人人地天地"] * 40
+    expected = [w for r in runs for w in whole.segment([r])]
+    seen = []
+    monkeypatch.setattr(segmentation, "PART_CHARS", 16)
+    cut = whole.cuts
+    monkeypatch.setattr(whole, "cuts", lambda points, *ends: seen.append(len(points)) or cut(points, *ends))
+    assert whole.segment(runs) == expected
+    assert max(seen) <= 16 and sum(seen) == sum(map(len, runs))
+
+
+def test_rows_of_a_batch_are_sliced_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(segmentation, "PART_BYTES", 20)
+    rows = [["abc"], None, [], ["x" * 50], ["yy", "zz"], ["abcdefgh"] * 2] * 5
+    lists = pa.array(rows, pa.list_(pa.string()))
+    parts = list(segmentation._row_parts(lists))
+    assert [r for p in parts for r in p.to_pylist()] == rows and len(parts) > 5
+    assert all(len(p) == 1 or sum(len(w) for r in p.to_pylist()[1:] for w in r or []) <= 20 for p in parts)
+    assert list(segmentation._row_parts(lists[:0])) == []
