@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cliplens.operators import blocks
+from cliplens.operators import blocks, silhouettes
 
 
 def test_a_home_of_many_queries_is_many_blocks(spark, monkeypatch):
@@ -35,3 +36,28 @@ def test_nearest_center_in_pieces(monkeypatch):
     d = blocks.squared_distances(x, centers)
     near, gap = blocks.nearest_center(x, centers)
     assert (near == d.argmin(1)).all() and np.allclose(gap, d.min(1))
+
+
+def test_silhouette_routes_in_bounded_frames(spark, monkeypatch):
+    monkeypatch.setattr(silhouettes, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(blocks, "ROUTE_ROWS", 50)
+    x = np.random.default_rng(5).normal(size=(90, 3))
+    summaries = type("S", (), {})()
+    summaries.n = np.array([60, 30])
+    summaries.opened = lambda some, own: np.ones((len(some), 2), bool)
+    frames = []
+
+    class Table:
+        schema = {"embedding": T.StructField("embedding", T.ArrayType(T.DoubleType()))}
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, route, schema):
+            batch = pd.DataFrame({"id": np.arange(90), "embedding": list(x), "label": np.arange(90) % 2})
+            frames.extend(route([batch]))
+
+    silhouettes.routed(Table(), summaries)
+    assert max(map(len, frames)) <= 50
+    rows = pd.concat(frames).groupby(["query_id", "cluster"])["chunk"].apply(sorted)
+    assert rows.map(list).to_dict() == {(i, c): list(range(n)) for i in range(90) for c, n in [(0, 15), (1, 8)]}
