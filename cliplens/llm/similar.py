@@ -1,10 +1,12 @@
 """Near-duplicates by exact similarity of word shingles, for filtering a corpus.
 
 Two texts are alike if the Jaccard similarity of their sets of five-word
-shingles is 0.8 or more. MinHash bands name the candidates: texts of that
-similarity share at least one of the bands but for one pair in 20,000 (fewer
-above 0.8). Candidates are compared by their whole shingle sets before they
-link. Equal sets are one node before any band is built. A bucket beyond a bound
+shingles is 0.8 or more. SimHash and MinHash name the candidates. The SimHash of
+a set is cut into five blocks, and sets that agree in two of them meet, so all
+within 3 bits do. Texts of that similarity also share at least one of the MinHash
+bands but for one pair in 20,000 (fewer above 0.8). Candidates are compared by
+their whole shingle sets before they
+link. Equal sets are one node before any key is built. A bucket beyond a bound
 is cut into chunks by a hash, which are compared by themselves first. Where the
 bucket is not one component by then, the rows outside its largest component are
 compared with the others in blocks, and no rows of one component ever are.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from cliplens.session import materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 25, 5
+PRINT_BLOCKS = 5  # two of them agree in prints that differ in 3 bits or fewer
 CHUNK_ROWS, CHUNK_SHINGLES = 256, 1 << 20
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 BATCH_ROWS = 256
@@ -60,6 +64,29 @@ def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
         np.uint64, n))
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of 64-bit hashes: the bits set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        bits = np.unpackbits(hashes[at:at + (1 << 13)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _tables(fingerprint: int) -> np.ndarray:
+    """One key for each two blocks of a fingerprint."""
+    edges = [64 * i // PRINT_BLOCKS for i in range(PRINT_BLOCKS + 1)]
+    blocks = [(fingerprint >> a) & ((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
+    keys = [(t + 1) << 32 | blocks[i] << 16 | blocks[j]
+            for t, (i, j) in enumerate(combinations(range(PRINT_BLOCKS), 2))]
+    return packed.mix(np.array(keys, np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys under which a set looks for others: MinHash bands, then SimHash tables."""
+    return np.concatenate([_bands(hashes), _tables(_fingerprint(hashes))])
+
+
 def _bands(hashes: np.ndarray) -> np.ndarray:
     """One key for each band of the MinHash signature."""
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -87,7 +114,7 @@ def _sketch_udf(shingle: int):
             for text in _texts(texts):
                 found = shingle_set(text, shingle)
                 rows.append((xxh3_128_digest(found.tobytes()), len(found),
-                             _bands(found) if len(found) else []))
+                             _keys(found) if len(found) else []))
             yield pa.StructArray.from_arrays(
                 [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SKETCH_ARROW)],
                 fields=list(_SKETCH_ARROW))
