@@ -1,8 +1,9 @@
 """Latent text vectors: a randomised singular value decomposition of the TF-IDF matrix.
 
 A pass over the documents multiplies a thin matrix, a row per vocabulary term,
-by the transposed and the plain TF-IDF matrix; a task sums its documents into
-one such matrix and sends it in slices of terms. The driver keeps matrices of
+by the transposed and the plain TF-IDF matrix, which is kept in small blocks of
+documents with common terms; a task sums its blocks into one such thin matrix
+and sends it in slices of terms. The driver keeps matrices of
 vocabulary by block width only, whose size does not grow with the documents.
 
 Passes build a block Krylov space from seeded random columns. Its Ritz pairs
@@ -18,9 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cliplens.functions.text import sliced
 from cliplens.operators.tfidf import (
     RETRIEVAL_TERMS, _flat, _in_rows, counted, document_weights, idf_of, vocabulary,
 )
@@ -32,6 +35,8 @@ SLICE = 256  # terms of one shuffled slice
 FAN_IN = 64  # partial slices that one task adds up at first
 MAX_TASKS = FAN_IN * FAN_IN
 ENTRIES = 65_536  # matrix entries handled at a time inside a task
+BLOCK_ENTRIES, BLOCK_DOCS = 16_384, 128  # of a block of the kept matrix, about and at most
+POOL_ENTRIES = 1 << 20  # entries of the documents that are dealt to blocks together
 PLACES = "array<struct<slot:int,weight:double>>"
 
 
@@ -76,8 +81,49 @@ def _sums(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents, terms, cells and weights of small matrices, documents by the terms that these have.
+
+    Documents are dealt in the order of their heaviest term, so those of a block have
+    terms in common and the matrix is dense enough for products of matrices.
+    """
+    flat, row = _flat(batch.column("places"))
+    slot = flat.field("slot").to_numpy(zero_copy_only=False)
+    weight = flat.field("weight").to_numpy(zero_copy_only=False)
+    by_weight = np.lexsort((slot, -weight, row))
+    filled, first = np.unique(row, return_index=True)
+    docs = filled[np.argsort(slot[by_weight][first], kind="stable")]
+    n = np.bincount(row, minlength=len(batch))
+    starts = np.cumsum(n) - n
+    sizes = np.maximum(n[docs], -(-BLOCK_ENTRIES // BLOCK_DOCS))  # short documents fill a block too
+    for some in sliced(pa.array(docs), sizes, BLOCK_ENTRIES):
+        mine = some.to_numpy(zero_copy_only=False)
+        lengths = n[mine]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1]) + np.repeat(starts[mine] - (ends - lengths), lengths)
+        used, code = np.unique(slot[at], return_inverse=True)
+        yield len(mine), used, np.repeat(np.arange(len(mine)), lengths) * len(used) + code, weight[at]
+
+
+def blocked(places: DataFrame) -> DataFrame:
+    """(docs, used, cells, weights): the document matrix in small blocks as bytes, which every pass reads."""
+    kind = "docs int, used binary, cells binary, weights binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            lengths = pc.fill_null(pc.list_value_length(whole.column("places")), 0).to_numpy(zero_copy_only=False)
+            for batch in sliced(whole, lengths, POOL_ENTRIES):
+                for docs, used, cells, weights in _blocks(batch):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([docs], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (
+                            used.astype(np.int32), cells.astype(np.int64), weights.astype(np.float64)))],
+                        names=["docs", "used", "cells", "weights"])
+
+    return places.select("places").mapInArrow(cut, kind)
+
+
 def _gram_times(matrix: DataFrame, block: np.ndarray) -> np.ndarray:
-    """The transposed document matrix times itself times ``block``, in one pass."""
+    """The transposed document matrix, in blocks, times itself times ``block``, in one pass."""
     spark = matrix.sparkSession
     shared = spark.sparkContext.broadcast(block)
     terms, width = block.shape
@@ -86,10 +132,11 @@ def _gram_times(matrix: DataFrame, block: np.ndarray) -> np.ndarray:
         q, total = shared.value, np.zeros((terms, width))
         used = False
         for batch in batches:
-            for first, end, row, slot, weight in _pieces(batch.column("places")):
-                image = _sums(row, q[slot] * weight[:, None], end - first)
-                order = np.argsort(slot, kind="stable")
-                total += _sums(slot[order], image[row[order]] * weight[order][:, None], terms)
+            for docs, mine, cells, weights in zip(*(batch.column(c) for c in ("docs", "used", "cells", "weights"))):
+                slots = np.frombuffer(mine.as_buffer(), np.int32)
+                some = np.zeros((docs.as_py(), len(slots)))
+                some.ravel()[np.frombuffer(cells.as_buffer(), np.int64)] = np.frombuffer(weights.as_buffer())
+                total[slots] += some.T @ (some @ q[slots])
                 used = True
         if used:
             starts = range(0, terms, SLICE)
@@ -104,7 +151,7 @@ def _gram_times(matrix: DataFrame, block: np.ndarray) -> np.ndarray:
         return pd.DataFrame({"part": [key[0]], "sums": [total.tobytes()]})
 
     kind = "part int, sums binary"
-    made = matrix.select("places").mapInArrow(sweep, kind).withColumn("turn", F.spark_partition_id() % FAN_IN)
+    made = matrix.mapInArrow(sweep, kind).withColumn("turn", F.spark_partition_id() % FAN_IN)
     some = made.groupBy("part", "turn").applyInPandas(add, kind)
     parts = some.groupBy("part").applyInPandas(add, kind).collect()
     out = np.zeros((terms, width))
@@ -185,7 +232,8 @@ class LatentModel:
         vectors, values, residuals = np.empty((0, 0)), np.empty(0), np.empty(0)
         if terms:
             slots = {t: i for i, t in enumerate(terms)}
-            matrix = materialize(placed_weights(document_weights(counts, doc, idf), doc, slots), "places")
+            places = placed_weights(document_weights(counts, doc, idf), doc, slots)
+            matrix = materialize(blocked(places), "blocks")
             # One sum per task is shuffled, so the tasks follow the cores, not the documents.
             tasks = min(MAX_TASKS, 4 * spark.sparkContext.defaultParallelism)
             vectors, values, residuals = decompose(matrix.coalesce(tasks), len(terms), rank, **how)

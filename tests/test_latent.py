@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,41 @@ def test_latent_search_by_plain_distances(spark):
         got[r["query_id"], titles[r["video_id"]]] = r["score"]
     assert set(got) == set(want)
     assert max(abs(got[k] - want[k]) for k in want) < 1e-5
+
+
+@pytest.mark.parametrize("entries, most", [(40, 3), (40, 1000), (16_384, 128)])
+def test_blocks_hold_every_weight_once(monkeypatch, entries, most):
+    """Small blocks together are the matrix, whatever the lengths, and none is larger than its bounds."""
+    monkeypatch.setattr(latent, "BLOCK_ENTRIES", entries)
+    monkeypatch.setattr(latent, "BLOCK_DOCS", most)
+    places, dense = placed()
+    gram, docs = np.zeros((90, 90)), 0
+    for n, used, cells, weights in latent._blocks(pa.RecordBatch.from_arrays([places], names=["places"])):
+        some = np.zeros((n, len(used)))
+        some.ravel()[cells] = weights
+        gram[np.ix_(used, used)] += some.T @ some
+        docs += n
+        assert n <= most and len(weights) <= entries + 90
+    assert np.array_equal(gram, dense.T @ dense) and docs == 61
+
+
+@pytest.mark.parametrize("pool", [60, 1 << 20])
+def test_a_pass_over_blocks_is_the_plain_product(spark, monkeypatch, pool):
+    monkeypatch.setattr(latent, "POOL_ENTRIES", pool)
+    places, dense = placed()
+    rows = spark.createDataFrame([(p and [(v["slot"], v["weight"]) for v in p],) for p in places.to_pylist()],
+                                 f"places {latent.PLACES}").repartition(3)
+    x = np.random.default_rng(1).normal(size=(90, 4))
+    assert np.allclose(latent._gram_times(latent.blocked(rows), x), dense.T @ (dense @ x))
+
+
+def placed():
+    """Placed weights of documents with none to all of 90 terms, and the same as a plain matrix."""
+    rng = np.random.default_rng(6)
+    rows = [[], None, *[rng.choice(90, n, replace=False).tolist() for n in [90, *rng.integers(1, 30, 60)]], []]
+    dense = np.zeros((len(rows), 90))
+    for i, slots in enumerate(rows):
+        dense[i, slots or []] = 1 + i + np.arange(len(slots or []))
+    kind = pa.list_(pa.struct([("slot", pa.int32()), ("weight", pa.float64())]))
+    return pa.array([None if s is None else [{"slot": j, "weight": dense[i, j]} for j in s]
+                     for i, s in enumerate(rows)], kind), dense
