@@ -37,9 +37,9 @@ def trained(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, models.
     data, side = prepared(spark, sf)
     train = data.where("is_train")
     features = models.fit_features(train)
-    ready = features.transform(train).select("features", "label", "bucket").cache()
+    # Written, not cached: the classifier keeps scaled blocks of all rows in memory itself.
+    ready = materialize(features.transform(train).select("features", "label", "bucket"), "ready")
     model = models.fit_ridge(ready) if kind == "view" else models.fit_bucket_classifier(ready)
-    ready.unpersist()
     store = models.ModelStore(spark, scratch_path(spark, "models"))
     store.save(features, {kind: model}, side["stats"], side["defaults"])
     return data, store
