@@ -7,36 +7,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliplens.functions import numbers as N
+from cliplens.functions.text import model_tokens
 from cliplens.functions.title import NUMERIC_FEATURES, view_bucket
 from cliplens.operators import authors, merge, models
 from cliplens.operators.joins import lookup_join
-from cliplens.plans.inputs import VIDEOS_SQL, table, videos, with_ctes
-from cliplens.session import materialize, scratch_path
+from cliplens.operators.tfidf import counted_rows
+from cliplens.plans.inputs import VIDEOS_SQL, publish_times, table, videos, with_ctes
+from cliplens.session import materialize, scratch_path, spread
 
 V = with_ctes(VIDEOS_SQL)
-COLUMNS = ["video_id", "title", "category", "author_id", "publish_time", "view_count"]
+COLUMNS = ["video_id", "title", "category", "author_id", "view_count"]
 
 
 def prepared(spark: SparkSession, sf: str, leaky: bool = False) -> tuple[DataFrame, dict]:
-    """Rows with features, label, bucket and split, written once.
+    """Rows with features, counted terms, label, bucket and split, written once.
 
     Author statistics come from the training rows only; ``leaky`` takes all rows.
+    Texts are read once and stay in their tasks: the publish times of their ids are
+    brought to them, unless these are too many to broadcast.
     """
     rows = merge.split_train_test(videos(spark, sf, *COLUMNS))
     stats = materialize(authors.author_stats(rows if leaky else rows.where("is_train")), "authors")
     defaults = authors.author_defaults(stats)
-    made = models.with_tokens(models.model_features(rows, stats, defaults)).withColumns({
+    times = materialize(publish_times(spark, sf), "times")
+    dated = lookup_join(spread(rows), times, ["video_id"], "left")
+    made = models.model_features(dated, stats, defaults).withColumns({
         "label": F.log1p("view_count"), "bucket": view_bucket(F.col("view_count"))})
-    kept = ["video_id", "category", *NUMERIC_FEATURES, "tokens", "is_train", "label", "bucket"]
-    return materialize(made.select(*kept), "features", compression="zstd"), {
-        "stats": stats, "defaults": defaults}
+    kept = ["video_id", "category", *NUMERIC_FEATURES, "is_train", "label", "bucket"]
+    data = counted_rows(made, kept, model_tokens(F.col("title")))
+    return materialize(data, "features", compression="zstd"), {"stats": stats, "defaults": defaults}
 
 
 def trained(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, models.ModelStore]:
     """Rows with features, and the store that a fresh training has written."""
     data, side = prepared(spark, sf)
+    features = models.fit_features(data.where("is_train"))
+    data = models.with_known_tokens(data, features)
     train = data.where("is_train")
-    features = models.fit_features(train)
     # Written, not cached: the classifier keeps scaled blocks of all rows in memory itself.
     ready = materialize(features.transform(train).select("features", "label", "bucket"), "ready")
     model = models.fit_ridge(ready) if kind == "view" else models.fit_bucket_classifier(ready)
